@@ -142,3 +142,20 @@ def slices(batch: pa.RecordBatch, name: str = "text", size: int = 1 << 20) -> It
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = PLAIN) -> np.ndarray:
+    """Hashes of ascending spans that do not overlap, in windows of bounded memory; spans may be longer than a window."""
+    out = np.zeros(len(starts), np.uint64)
+    for a in range(int(starts[0]) if len(starts) else 0, int(ends[-1]) if len(starts) else 0, WINDOW):
+        b = min(a + WINDOW, len(buf))
+        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b)
+        if lo == hi:
+            continue
+        run, (_, down) = sums(buf[a:b], values), powers(b - a)
+        s, e = np.maximum(starts[lo:hi], a), np.minimum(ends[lo:hi], b)
+        part = (run[np.maximum(e - a, s - a)] - run[s - a]) * down[s - a]
+        if starts[lo] < a:
+            part[:1] *= np.array([pow(BASE, int(a - starts[lo]), 1 << 64)], np.uint64)
+        out[lo:hi] += part
+    return mix(out + (ends - starts).astype(np.uint64))
