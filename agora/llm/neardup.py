@@ -6,7 +6,7 @@ as its node holds over LEAF representatives. Two sets of similarity s share a no
 that at s = 0.8 a pair is missed by all trees with probability (1 - 0.8 ** 3) ** 24 = 3e-8.
 
 Nodes are compared in two rounds. First each member proposes the partner of its node that looks most alike and the least
-one; proposals are confirmed on full sets and give components. Then only nodes in which different components meet are
+one (nodes of over LEAF are dealt into random parts for this); proposals are confirmed on full sets and give components. Then only nodes in which different components meet are
 compared exhaustively, on full sets too, so that a group of many alike sets costs a number of pairs linear in its size.
 Sketches of SKETCH bytes decide which pairs are worth it: a pair at the threshold passes but for a chance of 1e-6.
 
@@ -134,15 +134,12 @@ def proposals(threshold: float):
             ids, n, sk = g.column("id").to_numpy(), g.column("n").to_numpy(), _matrix(g.column("sketch"), np.uint8, SKETCH)
             order = np.argsort(ids)
             ids, n, sk = ids[order], n[order], sk[order]
-            for i in range(len(ids) if len(ids) <= LEAF else 1):
+            for i in range(len(ids)):
                 same = alike(sk, n, i, threshold)
                 same[i] = 0
-                if len(ids) > LEAF:  # a large node: the least member stands for all
-                    hit = np.flatnonzero(same)
-                elif same.any():
-                    hit = np.unique([int(same.argmax()), int((same > 0).argmax())])
-                else:
+                if not same.any():
                     continue
+                hit = np.unique([int(same.argmax()), int((same > 0).argmax())])
                 left += np.minimum(ids[hit], ids[i]).tolist()
                 right += np.maximum(ids[hit], ids[i]).tolist()
             if len(left) > 50_000:
@@ -244,7 +241,10 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     at = cut(_alive(info.select("id", "mh").mapInArrow(nodes(0, FIRST), "node long, tree int, id long")), "nodes")
     leaves, large, depth = at.where(f"c <= {LEAF}"), at.where(f"c > {LEAF}"), FIRST
     sketched = info.select("id", "n", "sketch")
-    first = at.select("node", "id").join(sketched, "id")
+    # Large nodes are dealt at random into parts of about LEAF: proposals of 24 trees connect what is alike throughout.
+    parts_of = F.ceil(F.col("c") / LEAF)
+    dealt = F.when(F.col("c") > LEAF, F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), parts_of))).otherwise(F.col("node"))
+    first = at.select(dealt.alias("node"), "id").join(sketched, "id")
     pairs = cut(_sorted(first, "node").mapInArrow(proposals(threshold), "a long, b long").distinct(), "proposals")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(_sets_of(docs, ids, shingle), "sets")
