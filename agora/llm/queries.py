@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import licenses, lines, neardup, pii, quality, secrets, shards, warc
+from agora.llm import decontaminate, licenses, lines, neardup, pii, quality, secrets, shards, warc
 from agora.llm.shared import table
 
 
@@ -19,6 +19,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_neardup, op2_secret_scan, op4_warc_assembly, op5_pii_sanitisation, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_kd_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_neardup, op2_secret_scan, op3_decontamination, op4_warc_assembly, op5_pii_sanitisation, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_kd_shards)}
 
 _GAP = r"[^\x20\x09-\x0D]+"
 
