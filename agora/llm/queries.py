@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import decontaminate, licenses, lines, neardup, pii, quality, secrets, shards, warc
+from agora.llm import decontaminate, licenses, lines, neardup, pieces, pii, quality, secrets, shards, warc
 from agora.llm.shared import table
 
+#: The vocabulary for op6; a parameter of the operator.
+MODEL = os.environ.get("AGORA_PIECES", "file:/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
@@ -31,6 +35,11 @@ def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.encode(docs, MODEL), MODEL)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -49,7 +58,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_neardup, op2_secret_scan, op3_decontamination, op4_warc_assembly, op5_pii_sanitisation, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_kd_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_neardup, op2_secret_scan, op3_decontamination, op4_warc_assembly, op5_pii_sanitisation, op6_sentencepiece, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_kd_shards)}
 
 _GAP = r"[^\x20\x09-\x0D]+"
 
