@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm import tokens
@@ -77,11 +77,26 @@ def measure(arr: pa.Array) -> dict[str, np.ndarray]:
     return {c: out[c] for c in COLUMNS}
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tokens.slices(batch):
-            found = measure(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[c], pa.int64()) for c in COLUMNS)], names=["doc_id", *COLUMNS])
+def _run(keep: list[str], names: list[str]):
+    """Columns of keep as they come, then COLUMNS under names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.slices(batch):
+                found = measure(part.column("text"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(found[c], pa.int64()) for c in COLUMNS)], names=[*keep, *names])
+
+    return run
+
+
+def _verdict(prefix: str = "") -> tuple[Column, Column]:
+    """Whether the base rule fails, and whether the text is kept."""
+    col = lambda c: F.col(prefix + c)
+    failed = (col("n_words") < MIN_WORDS) | (100 * col("n_repeat_words") > 50 * col("n_words"))
+    bad = (100 * col("chars_dup_lines") > LINE_LIMIT * col("word_chars")) | (100 * col("n_symbols") > SYMBOL_LIMIT * col("n_words"))
+    for n, most in LIMITS.items():
+        bad = bad | (100 * col(f"chars_rep_{n}") > most * col("word_chars"))
+    return failed, ~failed & ~bad
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -91,9 +106,14 @@ def assess(docs: DataFrame) -> DataFrame:
     come back as often as they came. Other columns of docs are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_run, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    bad = (100 * F.col("chars_dup_lines") > LINE_LIMIT * F.col("word_chars")) | (100 * F.col("n_symbols") > SYMBOL_LIMIT * F.col("n_words"))
-    for n, most in LIMITS.items():
-        bad = bad | (100 * F.col(f"chars_rep_{n}") > most * F.col("word_chars"))
-    return found.withColumn("base_failed", failed).withColumn("kept", ~failed & ~bad)
+    found = rows.mapInArrow(_run(["doc_id"], list(COLUMNS)), "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS))
+    failed, kept = _verdict()
+    return found.withColumn("base_failed", failed).withColumn("kept", kept)
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of docs that assess() would keep, with all their columns; text must be a string column."""
+    prefix = "_quality_"
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + "".join(f", {prefix}{c} long" for c in COLUMNS)
+    found = docs.mapInArrow(_run(docs.columns, [prefix + c for c in COLUMNS]), shape)
+    return found.where(_verdict(prefix)[1]).select(*docs.columns)
