@@ -73,7 +73,7 @@ def neighbours(vectors: DataFrame, k: int, id: str = "vec_id", vector: str = "em
     else:
         # A task has one block of sources and one of destinations; each vector goes to as many tasks as there are blocks.
         every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        left, right = placed.select("id", "v", "b", every.alias("o")), placed.select("id", "v", F.col("b").alias("o"), every.alias("b"))
+        left, right = placed.select("id", "v", "b", every.alias("o")), placed.select(F.col("id").alias("other"), F.col("v").alias("w"), F.col("b").alias("o"), every.alias("b"))
         found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInArrow(lambda a, c: _cogrouped(a, c, k), "src long, dst long, distance double")
     return top_per_group(found.withColumn("distance", F.round("distance", 6)), ["src"], [F.col("distance"), F.col("dst")], k).select("src", "dst", "rank", "distance")
 
@@ -106,9 +106,9 @@ def _cogrouped(a: pa.Table, c: pa.Table, k: int) -> pa.Table:
     names = ["src", "dst", "distance"]
     if not a.num_rows or not c.num_rows:
         return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-    m = _matrix(c.column("v").combine_chunks())
+    m = _matrix(c.column("w").combine_chunks())
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    parts = list(_against(c.column("id").to_numpy(), m, k)(iter(a.select(["id", "v"]).to_batches())))
+    parts = list(_against(c.column("other").to_numpy(), m, k)(iter(a.select(["id", "v"]).to_batches())))
     return pa.Table.from_batches(parts, pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.float64())]))
 
 
