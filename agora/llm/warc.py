@@ -165,6 +165,8 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
         "capture_id", "times", page.alias("page_id"), F.coalesce("response.payload_bytes", "response.http_length").alias("payload_bytes"),
         F.coalesce("response.payload_sha256", F.substring("response.digest", 8, 64)).alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"),
     )
-    responses = flat.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
-    out = flat.join(responses, "target", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    # Responses look themselves up, so that their missing targets do not meet in one task.
+    responses = flat.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers"))
+    out = flat.withColumn("target", F.coalesce("target", "capture_id")).join(responses, "target", "left")
+    out = out.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("refers"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
