@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.secrets import in_points, joined, texts
-from agora.llm.shared import cut
+from agora.llm.shared import cut, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -149,9 +149,10 @@ def scan(docs: DataFrame) -> DataFrame:
     met = cut(found.where("size(met) > 0").select("row", F.explode("met").alias("m")).select("row", "m.e", "m.t", "m.at"), "met")
     both = met.groupBy("e", "t").agg(F.count("*").alias("both")).where(f"both >= {MEETINGS}")
     alone = met.select("row", "e").distinct().groupBy("e").agg(F.count("*").alias("with_e"))
+    both = cut(both, "meetings")
     terms = both.select("t").distinct()
     pairs = both.join(alone, "e")
-    counts = _counts_of(rows, terms)
+    counts = cut(_counts_of(rows, terms), "counts")
     n = found.count()
     bits = lambda x: F.log2(F.lit(float(max(n, 1))) / x)
     pmi = bits(F.col("with_e")) + bits(F.col("df")) - bits(F.col("both"))
@@ -164,5 +165,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _counts_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, df) of the terms over all documents: counted per task, so that the shuffle holds a row for each task and term."""
-    return rows.select("text").mapInArrow(_document_counts, "t binary, df long").join(terms, "t", "left_semi").groupBy("t").agg(F.sum("df").alias("df"))
+    """(t, df) of the terms over all documents: counted per task and, if the terms are few, filtered before the shuffle."""
+    return rows.select("text").mapInArrow(_document_counts, "t binary, df long").join(small(terms), "t", "left_semi").groupBy("t").agg(F.sum("df").alias("df"))
