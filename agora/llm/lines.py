@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.shared import BROADCAST_ROWS, cut, small
+from agora.llm.shared import BROADCAST_ROWS, cut, fresh, small
 
 WINDOW = 3
 
@@ -63,8 +63,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = cut(covered(docs, window), "covered")
     n = spans.count()
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    side = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(small(side, 8 * n if n <= BROADCAST_ROWS // 8 else n + BROADCAST_ROWS), F.col("doc_id") == F.col("_id"), "left")
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(remaining(F.col("text"), F.col("_spans")))
-    gone = F.aggregate("_spans", F.lit(0), lambda t, s: t + s["e"] - s["s"])
+    ident, held = fresh(docs, "_lines_id"), fresh(docs, "_lines_spans")
+    side = spans.select(F.col("doc_id").alias(ident), F.col("spans").alias(held))
+    joined = docs.join(small(side, 8 * n if n <= BROADCAST_ROWS // 8 else n + BROADCAST_ROWS), F.col("doc_id") == F.col(ident), "left")
+    new = F.when(F.col(held).isNull(), F.col("text")).otherwise(remaining(F.col("text"), F.col(held)))
+    gone = F.aggregate(held, F.lit(0), lambda t, s: t + s["e"] - s["s"])
     return joined.select(*(new.alias(c) if c == "text" else docs[c] for c in keep), F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"))

@@ -44,3 +44,11 @@ def drop(df: DataFrame) -> None:
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it is counted to be small; otherwise as it is."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
