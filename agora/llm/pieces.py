@@ -349,178 +349,6 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     return short.union(found.select(*docs.columns, "ids", "n_chunks"))
 
 
-def decode(self, ids: list[int]) -> str:
-        data = b"".join(map(self.bytes_of.__getitem__, ids))
-        if self.prefix and data[:1] == b" ":
-            data = data[1:]
-        return data.decode("utf-8", "replace")
-
-    def encode(self, text: str) -> list[int]:
-        """One chunk: hard bounds at both ends, a scalar for each segment."""
-        return self.solve(self.segments(self.escape(text)))
-
-    # Chunks of a longer text: the text of a chunk comes with `longest` more characters on either side.
-
-    def states(self, text: str, at: int) -> list[tuple[int, int]]:
-        """What may cross place at of text or end there; (at, at) alone where no piece can cross and pairs do not matter."""
-        if at <= 0 or at >= len(text) or self._hard(text, at):
-            return [(at, at)]
-        return [(s, e) for s in range(max(0, at - self.longest), at) for e in range(at, min(s + self.longest, len(text)) + 1) if (e - s == 1 or text[s:e] in self.ids) and self.edge(text[s:e]) > NONE and not self._crosses(text, s, e)]
-
-    def _hard(self, text: str, at: int) -> bool:
-        a, b = text[at - 1], text[at]
-        return a in self.alone or b in self.alone or (b == MARK and a != MARK)
-
-    def _crosses(self, text: str, s: int, e: int) -> bool:
-        return any(self._hard(text, p) for p in range(s + 1, e))
-
-    def transfer(self, text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
-        """States at a and at b, and the best scores from one to the other over pieces that start in [a, b)."""
-        left, right = self.states(text, a), self.states(text, b)
-        hard = [p for p in range(a, b) if p == a == 0 or (p and self._hard(text, p))]
-        out = np.full((len(left), len(right)), NONE)
-        if not hard:
-            best, _ = self.lattice(text, left, b)
-            for j, s in enumerate(right):
-                got = best.get(s) if s[0] < s[1] else self._ended(best, s[1])
-                if got is not None:
-                    out[:, j] = got
-            return left, right, out
-        # Hard bounds inside part the chunk: what is before the first and after the last are the factors of a matrix of rank one.
-        first, last = hard[0], hard[-1]
-        head = np.zeros(len(left))
-        if first > a:
-            best, _ = self.lattice(text[:first], [s for s in left if s[1] <= first], first)
-            got = self._ended(best, first)
-            head = np.array([NONE] * len(left))
-            head[[k for k, s in enumerate(left) if s[1] <= first]] = got
-        middle = 0.0 if self.bpe else sum(self.edge(p) for s in self.segments(text[first:last]) for p in self.path(s, (0, 0)))
-        best, _ = self.lattice(text, [(last, last)], b)
-        tail = np.array([(best[s][0] if s in best else NONE) if s[0] < s[1] else self._ended(best, s[1])[0] for s in right])
-        return left, right, head[:, None] + middle + tail[None, :]
-
-    @staticmethod
-    def _ended(best: dict, at: int) -> np.ndarray:
-        return np.max([v for s, v in best.items() if s[1] == at] or [np.full(len(next(iter(best.values()))), NONE)], axis=0)
-
-    def trace(self, text: str, a: int, b: int, left: tuple[int, int], right: tuple[int, int]) -> list[int]:
-        """Ids of the pieces that start in [a, b), given the states at both cuts."""
-        hard = [p for p in range(max(a, left[1]), b) if p == 0 or self._hard(text, p)]
-        if not hard:
-            return self.numbers(self.path(text, left, right if right[0] < right[1] else None) if right[0] < right[1] else self.path(text[: right[1]], left))
-        first, last = hard[0], hard[-1]
-        out = self.numbers(self.path(text[:first], left)) if first > left[1] else []
-        out += self.solve(self.segments(text[first:last]))
-        end = right if right[0] < right[1] else None
-        return out + self.numbers(self.path(text if end else text[: right[1]], (last, last), end))
-
-
-def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The product of two transfer matrices under maximum and plus."""
-    return (x[:, :, None] + y[None, :, :]).max(1)
-
-
-def scan(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each cut on the best path: products of all beginnings, by doubling, then one look back from the end."""
-    prefix, step = list(matrices), 1
-    while step < len(prefix):
-        prefix = [combine(prefix[i - step], m) if i >= step else m for i, m in enumerate(prefix)]
-        step *= 2
-    at = [0] * (len(matrices) + 1)
-    for i in range(len(matrices) - 1, 0, -1):
-        at[i] = int((prefix[i - 1][0] + matrices[i][:, at[i + 1]]).argmax())
-    return at
-
-
-def _model(blob: bytes) -> Model:
-    """The model of this worker process, kept from task to task with what it remembers."""
-    kept = vars(sys).setdefault("_agora_models", {})
-    key = hashlib.sha256(blob).digest()
-    if key not in kept:
-        kept[key] = Model(blob)
-    return kept[key]
-
-
-def load(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
-
-
-def _encode_short(blob: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(blob)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [m.encode(t) if t is not None else None for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([int(i is not None and len(i) > 0) for i in ids], pa.int64())], names=[*part.schema.names, "ids", "n_chunks"])
-
-    return run
-
-
-def _split(blob: bytes, chunk: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(blob)
-        for batch in batches:
-            for row, text in zip(batch.column("_row"), batch.column("text"), strict=True):
-                e = m.escape(text.as_py())
-                for k, a in enumerate(range(0, len(e), chunk)):
-                    low, b = max(0, a - m.longest), min(a + chunk, len(e))
-                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([k], pa.int32()), pa.array([e[low : b + m.longest]]), pa.array([a - low], pa.int32()), pa.array([b - low], pa.int32())], names=["_row", "k", "text", "a", "b"])
-
-    return run
-
-
-def _transfers(blob: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(blob)
-        for batch in batches:
-            out = [pickle.dumps(m.transfer(t, a, b)) for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "a", "b")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("k"), pa.array(out, pa.binary())], names=["_row", "k", "t"])
-
-    return run
-
-
-def _states(table: pa.Table) -> pa.Table:
-    """The states on the best path at both ends of each chunk of one text."""
-    table = table.sort_by("k")
-    got = [pickle.loads(x) for x in table.column("t").to_pylist()]
-    at = scan([g[2] for g in got])
-    ends = [(*g[0][at[i]], *g[1][at[i + 1]]) for i, g in enumerate(got)]
-    return pa.table([table.column("_row"), table.column("k"), pa.array(ends, pa.list_(pa.int32()))], names=["_row", "k", "ends"])
-
-
-def _traces(blob: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(blob)
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "a", "b", "ends")), strict=True)
-            ids = [m.trace(t, a, b, (e[0], e[1]), (e[2], e[3])) for t, a, b, e in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["_row", "k", "ids"])
-
-    return run
-
-
-def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
-    """docs with ids (array<int>) and n_chunks (long); columns of those names are replaced, all others stay.
-
-    Null texts give null ids and no chunk, empty texts no ids and no chunk. A word mark in a text counts as a blank, as in the
-    library. Repeated rows come back as often as they came. An empty table gives no rows. model_path: a SentencePiece model
-    that keeps texts as they are, on any file system that Spark reads.
-    """
-    spark = docs.sparkSession
-    blob = load(spark, model_path)
-    docs = docs.drop("ids", "n_chunks")
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>, n_chunks long"
-    long = F.coalesce(F.char_length("text") >= chunk, F.lit(False))
-    short = docs.where(~long).mapInArrow(_encode_short(blob), shape)
-    giants = cut(docs.where(long).withColumn("_row", F.monotonically_increasing_id()), "giants")
-    chunks = cut(giants.select("_row", "text").mapInArrow(_split(blob, chunk), "_row long, k int, text string, a int, b int").repartition(F.col("_row"), F.col("k")), "chunks")
-    ends = chunks.mapInArrow(_transfers(blob), "_row long, k int, t binary").groupBy("_row").applyInArrow(_states, "_row long, k int, ends array<int>")
-    traced = chunks.join(ends, ["_row", "k"]).select("_row", "k", "text", "a", "b", "ends").mapInArrow(_traces(blob), "_row long, k int, ids array<int>")
-    whole = traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"), F.count("*").alias("n_chunks"))
-    return short.union(giants.join(whole, "_row").select(*docs.columns, "ids", "n_chunks"))
-
-
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
     """rows (ids array<int>) with text (string) replaced or added: what the ids stand for. Null ids give null text."""
     blob = load(rows.sparkSession, model_path)
