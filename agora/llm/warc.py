@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.shared import shared_dir, small
+from agora.llm.shared import cut, shared_dir, small
 
 LEAST = 100
 PER_FILE = 6000
@@ -165,6 +165,7 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
         "capture_id", "times", page.alias("page_id"), F.coalesce("response.payload_bytes", "response.http_length").alias("payload_bytes"),
         F.coalesce("response.payload_sha256", F.substring("response.digest", 8, 64)).alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"),
     )
+    flat = cut(flat, "captures")  # else the archives are parsed for each side of the join
     # Responses look themselves up, so that their missing targets do not meet in one task.
     responses = flat.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers"))
     out = flat.withColumn("target", F.coalesce("target", "capture_id")).join(responses, "target", "left")
