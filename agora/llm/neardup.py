@@ -10,7 +10,8 @@ one (nodes of over LEAF are dealt into random parts for this); proposals are con
 compared exhaustively, on full sets too, so that a group of many alike sets costs a number of pairs linear in its size.
 Sketches of SKETCH bytes decide which pairs are worth it: a pair at the threshold passes but for a chance of 1e-6.
 
-Nodes that stay larger than LEAF down to DEPTH are compared in pairs of blocks of LEAF members: nothing is capped.
+Of a large node in which one component is all but LEAF members, the few others are compared with all of it, part by part.
+Other large nodes are branched further; those that stay larger than LEAF down to DEPTH are compared in pairs of blocks of LEAF members: nothing is capped.
 """
 
 from __future__ import annotations
@@ -220,6 +221,13 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Large nodes of one main component: its members are dealt into parts of about LEAF, and the few others go to each part."""
+    k = F.ceil(F.col("c") / LEAF).cast("int")
+    here = F.when(F.col("part") == F.col("major"), F.array(F.pmod(F.xxhash64("id", "node"), k).cast("int"))).otherwise(F.sequence(F.lit(0), k - 1))
+    return rows.select(F.explode(here).alias("at"), "node", "tree", "id", "part").select(F.xxhash64("node", "at").alias("node"), "tree", "id", "part")
+
+
 def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text; other columns are not read).
 
@@ -262,8 +270,15 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
         large = cut(large, "large")
         if large.isEmpty():
             break
+        per = large.groupBy("node", "part").agg(F.count("*").alias("c"))
+        whole = per.groupBy("node").agg(F.max_by("part", F.struct("c", "part")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("c"))
+        told = cut(large.join(whole, "node"), "large")
+        kept.append(_dealt(told.where(f"c - most <= {LEAF}")))
+        many = told.where(f"c - most > {LEAF}")
+        if many.isEmpty():
+            break
         depth += 1
-        deeper = large.select("id", "tree").join(info.select("id", "mh"), "id").mapInArrow(nodes(depth - 1, depth), "node long, tree int, id long")
+        deeper = many.select("id", "tree").join(info.select("id", "mh"), "id").mapInArrow(nodes(depth - 1, depth), "node long, tree int, id long")
         deeper = cut(_alive(deeper), "nodes")
         kept.append(_mixed(deeper.where(f"c <= {LEAF}").select("node", "tree", "id").join(part, "id")))
         large = _mixed(deeper.where(f"c > {LEAF}").select("node", "tree", "id").join(part, "id"))
