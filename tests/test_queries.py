@@ -1,6 +1,6 @@
 import pytest
 
-from agora.plans import records, searches, texts  # noqa: F401
+from agora.plans import records, searches, shaped, texts  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(records.SQL))
