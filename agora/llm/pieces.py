@@ -203,9 +203,9 @@ class Model:
     def transfer(self, text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
         """States at a and at b, and the best scores from one to the other over pieces that start in [a, b)."""
         left, right = self.states(text, a), self.states(text, b)
-        hard = [p for p in range(a, b) if p == a == 0 or (p and self._hard(text, p))]
+        first = next((p for p in range(a, b) if not p or self._hard(text, p)), None)
         out = np.full((len(left), len(right)), NONE)
-        if not hard:
+        if first is None:
             best, _ = self.lattice(text, left, b)
             for j, s in enumerate(right):
                 got = best.get(s) if s[0] < s[1] else self._ended(best, s[1])
@@ -213,7 +213,7 @@ class Model:
                     out[:, j] = got
             return left, right, out
         # Hard bounds inside part the chunk: what is before the first and after the last are the factors of a matrix of rank one.
-        first, last = hard[0], hard[-1]
+        last = next(p for p in range(b - 1, a - 1, -1) if not p or self._hard(text, p))
         head = np.zeros(len(left))
         if first > a:
             best, _ = self.lattice(text[:first], [s for s in left if s[1] <= first], first)
@@ -231,10 +231,11 @@ class Model:
 
     def trace(self, text: str, a: int, b: int, left: tuple[int, int], right: tuple[int, int]) -> list[int]:
         """Ids of the pieces that start in [a, b), given the states at both cuts."""
-        hard = [p for p in range(max(a, left[1]), b) if p == 0 or self._hard(text, p)]
-        if not hard:
+        low = max(a, left[1])
+        first = next((p for p in range(low, b) if not p or self._hard(text, p)), None)
+        if first is None:
             return self.numbers(self.path(text, left, right if right[0] < right[1] else None) if right[0] < right[1] else self.path(text[: right[1]], left))
-        first, last = hard[0], hard[-1]
+        last = next(p for p in range(b - 1, low - 1, -1) if not p or self._hard(text, p))
         out = self.numbers(self.path(text[:first], left)) if first > left[1] else []
         out += self.solve(self.segments(text[first:last]))
         end = right if right[0] < right[1] else None
