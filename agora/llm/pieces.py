@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from agora.llm.shared import cut, fresh
 
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 #: Distinct segments that a task remembers.
 MEMORY = 200_000
 MARK = "▁"
