@@ -32,7 +32,7 @@ from agora.llm.shared import cut, fresh
 
 CHUNK = 1 << 16
 #: Distinct segments that a task remembers.
-MEMORY = 200_000
+MEMORY = 300_000
 MARK = "▁"
 NONE = float("-inf")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
