@@ -2,8 +2,9 @@
 
 Information-theoretic sanitisation: e-mail addresses, IP addresses, card and phone numbers are protected entities. Over the
 whole corpus, the number of documents that hold an entity, that hold a term, and in which the term stands within REACH words of
-the entity give the pointwise mutual information of the two. A term that leaves less than 1 - DISCLOSURE of an entity's own
-information open, and that met it in MEETINGS documents or more, discloses it: it becomes a span of kind "term".
+the entity give the pointwise mutual information of the two. A term that leaves at most 1 - DISCLOSURE of an entity's own
+information open discloses it: it becomes a span of kind "term". The share of a term's documents in which it meets the entity
+is drawn towards the entity's own share by PRIOR documents, so that one meeting counts, but for less than many do.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ IP = re.compile(rb"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(rb"[^\x20\x09-\x0D]+")
-REACH, DISCLOSURE, MEETINGS = 5, 0.9, 3
+REACH, DISCLOSURE, PRIOR = 5, 0.9, 0.5
 #: Distinct terms that a task counts before it hands partial counts on.
 HELD = 200_000
 
@@ -109,14 +110,14 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = in_points(data, [(s, "", e) for p in near.values() for s, e in p])
             each = iter(places)
             met = [{"e": _key(e), "t": _key(t), "at": [{"s": x[0], "z": x[2]} for x in (next(each) for _ in p)]} for (e, t), p in near.items()]
-            rows.append((in_points(data, spans), met, sorted({_key(t) for _, t in near}), sorted({e for e, _ in near})))
+            rows.append((in_points(data, spans), met, data.decode() if spans else None))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array([sum(k == kind for _, k, _ in r[0]) for r in rows], pa.int64()) for kind in KINDS[:4]), pa.array([joined(r[0]) for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("e", pa.binary()), ("t", pa.binary()), ("at", pa.list_(pa.struct([("s", pa.int64()), ("z", pa.int64())])))])))],
-            names=["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "met"],
+            [batch.column("doc_id"), *(pa.array([sum(k == kind for _, k, _ in r[0]) for r in rows], pa.int64()) for kind in KINDS[:4]), pa.array([joined(r[0]) for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("e", pa.binary()), ("t", pa.binary()), ("at", pa.list_(pa.struct([("s", pa.int64()), ("z", pa.int64())])))]))), pa.array([r[2] for r in rows], pa.string())],
+            names=["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "met", "text"],
         )
 
 
-BASE_SHAPE = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, met array<struct<e: binary, t: binary, at: array<struct<s: bigint, z: bigint>>>>"
+BASE_SHAPE = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, met array<struct<e: binary, t: binary, at: array<struct<s: bigint, z: bigint>>>>, text string"
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,19 +148,20 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = cut(rows.mapInArrow(_base, BASE_SHAPE).withColumn("row", F.monotonically_increasing_id()), "pii")
     met = cut(found.where("size(met) > 0").select("row", F.explode("met").alias("m")).select("row", "m.e", "m.t", "m.at"), "met")
-    both = met.groupBy("e", "t").agg(F.count("*").alias("both")).where(f"both >= {MEETINGS}")
+    both = met.groupBy("e", "t").agg(F.count("*").alias("both"))
     alone = met.select("row", "e").distinct().groupBy("e").agg(F.count("*").alias("with_e"))
-    both = cut(both, "meetings")
-    terms = both.select("t").distinct()
-    pairs = both.join(alone, "e")
-    counts = cut(_counts_of(rows, terms), "counts")
     n = found.count()
-    bits = lambda x: F.log2(F.lit(float(max(n, 1))) / x)
-    pmi = bits(F.col("with_e")) + bits(F.col("df")) - bits(F.col("both"))
-    disclosing = pairs.join(counts, "t").where((bits(F.col("with_e")) > 0) & (pmi >= DISCLOSURE * bits(F.col("with_e")))).select("e", "t")
+    share = F.col("with_e") / F.lit(float(max(n, 1)))
+    told = (F.col("both") + PRIOR * share) / (F.col("df") + PRIOR)
+    discloses = (share < 1) & (F.log2(told / share) >= -DISCLOSURE * F.log2(share))
+    # Documents that hold an entity are few: a term that stands in too many of them alone need not be counted in all.
+    here = found.where("text is not null").select("text").mapInArrow(_document_counts, "t binary, df long").groupBy("t").agg(F.sum("df").alias("df"))
+    pairs = cut(both.join(alone, "e").join(here, "t").where(discloses).drop("df"), "meetings")
+    counts = cut(_counts_of(rows, pairs.select("t").distinct()), "counts")
+    disclosing = pairs.join(counts, "t").where(discloses).select("e", "t")
     terms_at = met.join(disclosing, ["e", "t"]).select("row", F.explode("at").alias("x")).groupBy("row").agg(F.array_sort(F.collect_set("x")).alias("terms"))
     text = F.transform("terms", lambda x: F.concat(F.lit("term:"), x["s"], F.lit(":"), x["z"]))
-    out = found.drop("met").join(terms_at, "row", "left")
+    out = found.drop("met", "text").join(terms_at, "row", "left")
     spans = F.concat_ws(",", F.nullif(F.col("base"), F.lit("")), text)
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
 

@@ -70,3 +70,15 @@ def test_personal_data_in_odd_rows(odd, none):
     got = pii.scan(odd).collect()
     assert len(got) == odd.count() and all(r.spans == "" for r in got) and pii.scan(none).count() == 0
     assert pii.find(b"0" * 100_000) == [] and pii.find(b"a" * 100_000 + b"@") == []
+
+
+def test_terms_of_entities_seen_once(spark):
+    docs = [(1, "write to quagga at bob@y.org or call"), (2, "write or call at noon")] + [(k, "write to them at or call") for k in range(100, 300)]
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].spans == "email:19:28,term:9:15" and got[1].n_term == 1 and got[2].n_term == 0
+
+
+def test_terms_on_the_given_table(spark):
+    rows = pii.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert sum(r.n_term for r in rows) > 0
+    assert all(r.n_email + r.n_ip + r.n_card + r.n_phone > 0 for r in rows if r.n_term)
