@@ -82,3 +82,29 @@ def test_terms_on_the_given_table(spark):
     rows = pii.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     assert sum(r.n_term for r in rows) > 0
     assert all(r.n_email + r.n_ip + r.n_card + r.n_phone > 0 for r in rows if r.n_term)
+
+
+def test_sanitised_texts(spark, odd, none):
+    far = " ".join(["talk"] * 20)
+    docs = [(1, f"write to Quagga, at bob@y.org {far} quagga é quagga. of 10.1.2.3", "x"), (2, "write or call at noon", "y"), (3, None, "z"), (None, "call +1 (555) 555-0123", "v"), (2, "card 4111 1111 1111 1111", "w")]
+    docs += [(k, "write to them at talk of call é", "u") for k in range(100, 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, clean string")
+    got = {(r.doc_id, r.clean): r.text for r in pii.sanitise(df).collect()}
+    assert got[1, "x"] == f"write to [TERM] at [EMAIL] {far} [TERM] é [TERM] of [IP]"
+    assert got[2, "y"] == "write or call at noon" and got[3, "z"] is None and got[None, "v"] == "call [PHONE]" and got[2, "w"] == "[TERM] [CARD]"
+    assert next(r.n_term for r in pii.scan(df).collect() if r.doc_id == 1) == 3
+    assert pii.sanitise(odd).columns == odd.columns and sorted(map(str, pii.sanitise(odd).collect())) == sorted(map(str, odd.collect())) and pii.sanitise(none).count() == 0
+
+
+def test_spans_are_what_sanitising_replaces(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).select("doc_id", "text").collect()}
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.scan(docs).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        text, last = "", 0
+        for kind, a, b in sorted(spans[r.doc_id], key=lambda x: (int(x[1]), pii.KINDS.index(x[0]))):
+            if int(a) >= last:
+                text += r.text[last : int(a)] + f"[{kind.upper()}]"
+            last = max(last, int(b))
+        assert clean[r.doc_id] == (None if r.text is None else text + r.text[last:])
+        assert r.text is None or not pii.find(clean[r.doc_id].encode())
