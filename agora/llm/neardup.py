@@ -1,9 +1,9 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
 Texts become sets of word shingles. Equal sets are one class, and only its representative goes on. In each of TREES
-independent trees a representative follows the path of its minwise tokens: FIRST tokens at once, then one more for as long
-as its node holds over LEAF representatives. Two sets of similarity s share a node of depth d with probability s ** d, so
-that at s = 0.8 a pair is missed by all trees with probability (1 - 0.8 ** 3) ** 24 = 3e-8.
+independent trees a representative follows the path of its FIRST minwise tokens. Two sets of similarity s share a node of depth
+d with probability s ** d, so that at s = 0.8 a pair is missed by all trees with probability (1 - 0.8 ** 3) ** 24 = 3e-8. No
+node is branched further, large or not: deeper paths would share their functions with other trees and lose pairs.
 
 Nodes are compared in two rounds. First each member proposes the partner of its node that looks most alike and the least
 one (nodes of over LEAF are dealt into random parts for this); proposals are confirmed on full sets and give components. Then only nodes in which different components meet are
@@ -11,12 +11,14 @@ compared exhaustively, on full sets too, so that a group of many alike sets cost
 Sketches of SKETCH bytes decide which pairs are worth it: a pair at the threshold passes but for a chance of 1e-6.
 
 Of a large node in which one component is all but LEAF members, the few others are compared with all of it, part by part.
-Other large nodes are branched further; those that stay larger than LEAF down to DEPTH are compared in pairs of blocks of LEAF members: nothing is capped.
+Other large nodes are split by size, so that sets whose sizes allow the threshold stay together, and then compared in pairs of
+blocks of LEAF members: nothing is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,13 @@ from agora.llm import tokens
 from agora.llm.graph import components
 from agora.llm.shared import cut, drop, small
 
-TREES, FIRST, DEPTH, LEAF, SKETCH = 24, 3, 10, 400, 96
+TREES, FIRST, LEAF, SKETCH = 24, 3, 400, 96
 #: Sketches of two sets at the threshold agree in at least this share of threshold * SKETCH bytes.
 SLACK = 0.745
 _rng = np.random.Generator(np.random.PCG64(7))
 FLIP, TURN = _rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32), _rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: The minwise functions along each tree's path.
+#: The minwise functions along each tree's path; no two trees share one.
+DEPTH = FIRST
 PATHS = np.stack([np.roll(np.arange(SKETCH), -FIRST * t) for t in range(TREES)])[:, :DEPTH]
 
 
@@ -71,28 +74,15 @@ def _matrix(col: pa.Array, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(-1, width)
 
 
-def nodes(lo: int, hi: int):
-    """Rows (node, tree, id) for the trees, by paths of hi tokens. At first (lo = 0) for all trees, later for the tree of each row."""
-
-    def path(low: np.ndarray, tree: int) -> np.ndarray:
-        key = np.full(len(low), tree + 1, np.uint64)
-        for k in PATHS[tree, :hi]:
-            key = tokens.mix(key * tokens.U(0xD1342543DE82EF95) + low[:, k])
-        return key.view(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = _matrix(batch.column("mh"), np.uint32, SKETCH)
-            if lo:
-                tree, key = batch.column("tree").to_numpy(), np.zeros(len(low), np.int64)
-                for t in np.unique(tree):
-                    key[tree == t] = path(low[tree == t], int(t))
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("tree"), batch.column("id")], names=["node", "tree", "id"])
-            else:
-                for t in range(TREES):
-                    yield pa.RecordBatch.from_arrays([pa.array(path(low, t)), pa.array(np.full(len(low), t, np.int32)), batch.column("id")], names=["node", "tree", "id"])
-
-    return run
+def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, id): each id in its node of every tree."""
+    for batch in batches:
+        low = _matrix(batch.column("mh"), np.uint32, SKETCH)
+        for tree in range(TREES):
+            key = np.full(len(low), tree + 1, np.uint64)
+            for k in PATHS[tree]:
+                key = tokens.mix(key * tokens.U(0xD1342543DE82EF95) + low[:, k])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id")], names=["node", "id"])
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -211,6 +201,12 @@ def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return some.mapInArrow(full_sets(shingle), "id long, set binary").dropDuplicates(["id"])
 
 
+def _by_size(rows: DataFrame, threshold: float) -> DataFrame:
+    """Nodes as overlapping ranges of size (n), each a node of its own: any two sizes at the threshold or closer share a range."""
+    band = F.floor(F.log("n") / F.lit(-1.0001 * math.log(threshold)))
+    return rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("node", F.xxhash64("node", "band")).drop("band")
+
+
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """Nodes of over LEAF members as pairs of blocks, each a node of its own."""
     blocks = rows.join(rows.groupBy("node").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("k")), "node")
@@ -225,7 +221,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     """Large nodes of one main component: its members are dealt into parts of about LEAF, and the few others go to each part."""
     k = F.ceil(F.col("c") / LEAF).cast("int")
     here = F.when(F.col("part") == F.col("major"), F.array(F.pmod(F.xxhash64("id", "node"), k).cast("int"))).otherwise(F.sequence(F.lit(0), k - 1))
-    return rows.select(F.explode(here).alias("at"), "node", "tree", "id", "part").select(F.xxhash64("node", "at").alias("node"), "tree", "id", "part")
+    return rows.select(F.explode(here).alias("at"), "node", "id", "part").select(F.xxhash64("node", "at").alias("node"), "id", "part")
 
 
 def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -245,9 +241,9 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     info = cut(base.where("n > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("id"), "n", "mh", "sketch"), "representatives")
     drop(feats)
 
-    # The trees: nodes that hold two or more, and are small or at full depth.
-    at = cut(_alive(info.select("id", "mh").mapInArrow(nodes(0, FIRST), "node long, tree int, id long")), "nodes")
-    leaves, large, depth = at.where(f"c <= {LEAF}"), at.where(f"c > {LEAF}"), FIRST
+    # The trees: nodes that hold two or more.
+    at = cut(_alive(info.select("id", "mh").mapInArrow(nodes, "node long, id long")), "nodes")
+    leaves, large = at.where(f"c <= {LEAF}"), at.where(f"c > {LEAF}")
     sketched = info.select("id", "n", "sketch")
     # Large nodes are dealt at random into parts of about LEAF: proposals of 24 trees connect what is alike throughout.
     parts_of = F.ceil(F.col("c") / LEAF)
@@ -261,29 +257,20 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     drop(sets)
     parts = components(links)
 
-    # What different components still share a node: smaller nodes for the large ones, then every pair.
+    # What different components still share a node: large nodes in parts, then every pair.
     part = cut(info.select("id").distinct().join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part")), "parts")
     known = sketched.join(part, "id")
-    kept = [_mixed(leaves.select("node", "tree", "id").join(part, "id"))]
-    large = _mixed(large.select("node", "tree", "id").join(part, "id"))
-    while depth < DEPTH:
-        large = cut(large, "large")
-        if large.isEmpty():
-            break
+    kept = [_mixed(leaves.select("node", "id").join(part, "id"))]
+    large = cut(_mixed(large.select("node", "id").join(part, "id")), "large")
+    if not large.isEmpty():
         per = large.groupBy("node", "part").agg(F.count("*").alias("c"))
         whole = per.groupBy("node").agg(F.max_by("part", F.struct("c", "part")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("c"))
         told = cut(large.join(whole, "node"), "large")
         kept.append(_dealt(told.where(f"c - most <= {LEAF}")))
-        many = told.where(f"c - most > {LEAF}")
-        if many.isEmpty():
-            break
-        depth += 1
-        deeper = many.select("id", "tree").join(info.select("id", "mh"), "id").mapInArrow(nodes(depth - 1, depth), "node long, tree int, id long")
-        deeper = cut(_alive(deeper), "nodes")
-        kept.append(_mixed(deeper.where(f"c <= {LEAF}").select("node", "tree", "id").join(part, "id")))
-        large = _mixed(deeper.where(f"c > {LEAF}").select("node", "tree", "id").join(part, "id"))
-    else:
-        kept.append(_in_blocks(large))
+        many = told.where(f"c - most > {LEAF}").select("node", "id", "part")
+        if not many.isEmpty():
+            ranges = cut(_mixed(_by_size(many.join(info.select("id", "n"), "id"), threshold).select("node", "id", "part")), "ranges")
+            kept.append(_mixed(_in_blocks(ranges)))
     meet = kept[0].select("node", "id")
     for k in kept[1:]:
         meet = meet.union(k.select("node", "id"))

@@ -48,6 +48,20 @@ def test_against_brute_force(spark, monkeypatch, seed, leaf):
     assert got == brute(docs)
 
 
+def test_large_mixed_nodes_keep_borderline_pairs(spark, monkeypatch):
+    """Pairs at 0.8 among texts that are all just less alike: nodes of many components, far over LEAF."""
+    monkeypatch.setattr(neardup, "LEAF", 6)
+    monkeypatch.setattr(neardup, "DEPTH", 10)
+    common = [f"c{k}" for k in range(198)]
+    docs = []
+    for pair in range(120):
+        own = [f"p{pair}x{k}" for k in range(3)]
+        docs += [(2 * pair + half, " ".join(common + own + [f"d{pair}h{half}x{k}" for k in range(25)])) for half in range(2)]
+    want = brute(docs, 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.cluster(spark.createDataFrame(docs, "doc_id long, text string"), shingle=1).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 120
+
+
 def test_chain_of_borderline_copies(spark):
     """A chain in which only neighbours are alike is one component."""
     words = [f"t{k}" for k in range(400)]
