@@ -198,11 +198,11 @@ def _fcm_step(centres: np.ndarray, m: float):
     return run
 
 
-def fuzzy_c_means(vectors: DataFrame, k: int, m: float = 2.0, rounds: int = 150, stop: float = 1e-5, seed: int = 0, vector: str = "embedding") -> tuple[np.ndarray, dict[str, float]]:
+def fuzzy_c_means(vectors: DataFrame, k: int, m: float = 2.0, rounds: int = 150, stop: float = 1e-5, seed: int = 0, n_init: int = 1, vector: str = "embedding") -> tuple[np.ndarray, dict[str, float]]:
     """Centres, and their objective, partition coefficient (fpc), its modified form (mpc) and Xie-Beni index.
 
     A round sends k centres out and one sum of each task back. Seeds are drawn from a sample of at most 1000 points, each far
-    from those before. The order of tasks does not change a result by more than rounding.
+    from those before; of n_init starts the one of the lowest objective counts. The order of tasks does not change a result by more than rounding.
     """
     if m <= 1:
         raise ValueError("the exponent must exceed 1")
@@ -211,22 +211,27 @@ def fuzzy_c_means(vectors: DataFrame, k: int, m: float = 2.0, rounds: int = 150,
     if len(few) < k:
         raise ValueError("fewer points than centres")
     rng = np.random.default_rng(seed)
-    centres = few[[rng.integers(len(few))]]
-    while len(centres) < k:
-        d = ((few[:, None, :] - centres[None]) ** 2).sum(2).min(1)
-        centres = np.vstack([centres, few[rng.choice(len(few), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(few))]])
-    cost = fit = float("inf")
-    n = 0
-    for _ in range(rounds):
-        rows = points.mapInArrow(_fcm_step(centres, m), "total binary, weight binary, cost double, fit double, n long").collect()
-        total = sum(np.frombuffer(r["total"]).reshape(centres.shape) for r in rows)
-        weight = sum(np.frombuffer(r["weight"]) for r in rows)
-        cost, fit, n = sum(r["cost"] for r in rows), sum(r["fit"] for r in rows), sum(r["n"] for r in rows)
-        after = total / np.maximum(weight[:, None], 1e-12)
-        moved = float(np.abs(after - centres).max())
-        centres = after
-        if moved < stop:
-            break
+    best = None
+    for _ in range(max(1, n_init)):
+        centres = few[[rng.integers(len(few))]]
+        while len(centres) < k:
+            d = ((few[:, None, :] - centres[None]) ** 2).sum(2).min(1)
+            centres = np.vstack([centres, few[rng.choice(len(few), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(few))]])
+        cost = fit = float("inf")
+        n = 0
+        for _ in range(rounds):
+            rows = points.mapInArrow(_fcm_step(centres, m), "total binary, weight binary, cost double, fit double, n long").collect()
+            total = sum(np.frombuffer(r["total"]).reshape(centres.shape) for r in rows)
+            weight = sum(np.frombuffer(r["weight"]) for r in rows)
+            cost, fit, n = sum(r["cost"] for r in rows), sum(r["fit"] for r in rows), sum(r["n"] for r in rows)
+            after = total / np.maximum(weight[:, None], 1e-12)
+            moved = float(np.abs(after - centres).max())
+            centres = after
+            if moved < stop:
+                break
+        if best is None or cost < best[0]:
+            best = cost, fit, n, centres
+    cost, fit, n, centres = best
     points.unpersist()
     fpc = fit / max(n, 1)
     apart = min((float(((a - b) ** 2).sum()) for i, a in enumerate(centres) for b in centres[:i]), default=0.0)

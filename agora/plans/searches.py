@@ -84,13 +84,14 @@ def v5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v3_fcm_fit")
 def v3(spark: SparkSession, d: str) -> DataFrame:
-    _, scores = vectors.fuzzy_c_means(table(spark, d, "embeddings"), 4, m=1.3, rounds=15)
+    _, scores = vectors.fuzzy_c_means(table(spark, d, "embeddings"), 4, m=1.3)
     return spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "score string, value double")
 
 
 @query("v8_kmeans_scan")
 def v8(spark: SparkSession, d: str) -> DataFrame:
-    rows = vectors.kmeans_scan(table(spark, d, "embeddings"), [2, 5, 10])
+    e = table(spark, d, "embeddings")
+    rows = vectors.kmeans_scan(e, list(range(2, min(30, max(3, int(e.count() ** 0.5) + 8)) + 1)))
     return spark.createDataFrame([tuple(float(x) for x in r.values()) for r in rows], "k double, silhouette double, calinski_harabasz double, davies_bouldin double")
 
 

@@ -134,5 +134,5 @@ def sr3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v6_fcm_scan")
 def v6(spark: SparkSession, d: str) -> DataFrame:
-    rows = vectors.fcm_scan(table(spark, d, "embeddings"), 3, m=1.3, rounds=8)
+    rows = vectors.fcm_scan(table(spark, d, "embeddings"), m=1.3)
     return spark.createDataFrame([tuple(float(x) for x in r.values()) for r in rows], "k double, objective double, fpc double, mpc double, xie_beni double")

@@ -160,3 +160,20 @@ def test_filters_reach_the_scan(spark, data):
     df = vectors.top_k(spark.read.parquet(f"{data}/embeddings.parquet"), [0.0] * 64, 3, "vec_id", "embedding", 0.0, F.col("label") == 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(label), EqualTo(label,3)]" in plan and "TakeOrderedAndProject" in plan and "Exchange" not in plan
+
+
+def test_cluster_queries_do_the_whole_job(spark, monkeypatch):
+    from agora.plans import searches, shaped
+
+    asked = []
+    monkeypatch.setattr(vectors, "fuzzy_c_means", lambda v, k, **how: asked.append((k, how)) or (None, {"objective": 0.0, "fpc": 0.0, "mpc": 0.0, "xie_beni": 0.0}))
+    monkeypatch.setattr(vectors, "kmeans_scan", lambda v, ks: asked.append(ks) or [{"k": 2, "silhouette": 0.0, "calinski_harabasz": 0.0, "davies_bouldin": 0.0}])
+    for run in (searches.v3, shaped.v6, searches.v8):
+        run(spark, "/root/testdata/sf0.001")
+    assert asked == [(4, {"m": 1.3}), *((k, {"m": 1.3}) for k in range(2, 13)), list(range(2, 31))]
+
+
+def test_restarts_keep_the_lowest_objective(spark):
+    df = spark.createDataFrame([([float(k % 5 * 9), float(k % 7)],) for k in range(60)], "embedding array<double>")
+    one, five = (vectors.fuzzy_c_means(df, 5, rounds=2, n_init=n)[1]["objective"] for n in (1, 5))
+    assert five <= one
