@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from agora.llm.shared import cut, drop
@@ -19,26 +19,32 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(pair).alias("p")).select("p.u", "p.v")
 
 
+def _kept(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """edges, written, with their number and a sum of their hashes, which are taken on the way."""
+    seen = Observation()
+    told = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    return cut(told, "edges"), seen.get
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, component) for every vertex of edges (a, b) but those that are alone; component is the least id reached.
 
     Each round is two joins on a vertex; a vertex with very many links is split by adaptive skew joins.
-    An empty edge table gives no rows; loops and repeated edges count for nothing.
+    An empty edge table gives no rows; loops, repeated edges and edges with a null end count for nothing.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    now, state = _kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct())
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        if not state["n"]:
             break
-        before = state
         links = _both(now)
         large = links.join(_lowest(links), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = _lowest(large)
         star = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = cut(star, "edges")
+        after, found = _kept(star)
         drop(now)
-        now = after
+        now, state, before = after, found, state
+        if state == before:
+            break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

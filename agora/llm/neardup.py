@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from agora.llm import tokens
 from agora.llm.graph import components
-from agora.llm.shared import cut, drop, small
+from agora.llm.shared import cut, drop, look_up, small
 
 TREES, FIRST, LEAF, SKETCH = 24, 3, 400, 96
 #: Sketches of two sets at the threshold agree in at least this share of threshold * SKETCH bytes.
@@ -37,6 +37,7 @@ _rng = np.random.Generator(np.random.PCG64(7))
 FLIP, TURN = _rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32), _rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: The minwise functions along each tree's path; no two trees share one.
 DEPTH = FIRST
+MEMBER = ["node", "tree", "id", "n", "part", "trees", "sketch"]
 PATHS = np.stack([np.roll(np.arange(SKETCH), -FIRST * t) for t in range(TREES)])[:, :DEPTH]
 
 
@@ -52,9 +53,10 @@ def features(shingle: int):
                     at = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
                     for k in range(SKETCH):
                         low[some, k] = np.minimum.reduceat((x ^ FLIP[k]) * TURN[k], at)
+                keys = tree_keys(low)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() for r in low], pa.binary()), pa.array([r.tobytes() for r in low.astype(np.uint8)], pa.binary())],
-                    names=["doc_id", "n", "h", "mh", "sketch"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array([r.tobytes() for r in low.astype(np.uint8)], pa.binary())],
+                    names=["doc_id", "n", "h", "trees", "sketch"],
                 )
 
     return run
@@ -74,15 +76,20 @@ def _matrix(col: pa.Array, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(-1, width)
 
 
+def tree_keys(low: np.ndarray) -> np.ndarray:
+    """The node that each row of minwise values reaches in each tree."""
+    key = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(low), 1))
+    for k in range(PATHS.shape[1]):
+        key = tokens.mix(key * tokens.U(0xD1342543DE82EF95) + low[:, PATHS[:, k]])
+    return key
+
+
 def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, id): each id in its node of every tree."""
+    """Rows (node, tree, id): each id in its node of every tree."""
     for batch in batches:
-        low = _matrix(batch.column("mh"), np.uint32, SKETCH)
+        keys = _matrix(batch.column("trees"), np.uint64, TREES)
         for tree in range(TREES):
-            key = np.full(len(low), tree + 1, np.uint64)
-            for k in PATHS[tree]:
-                key = tokens.mix(key * tokens.U(0xD1342543DE82EF95) + low[:, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id")], names=["node", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, tree].astype(np.int64)), pa.array(np.full(len(keys), tree, np.int8)), batch.column("id")], names=["node", "tree", "id"])
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -141,21 +148,34 @@ def proposals(threshold: float):
     return run
 
 
+def _new(trees: np.ndarray, tree: int, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of others that share no node with i in a tree before this one: no pair is compared twice."""
+    return others[(trees[others, :tree] != trees[i, :tree]).all(1)]
+
+
 def strangers(threshold: float):
     """Per node: the members that look like a member of another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "node"):
-            part, n, sk = g.column("part").to_numpy(), g.column("n").to_numpy(), _matrix(g.column("sketch"), np.uint8, SKETCH)
-            if (part == part[0]).all():
-                continue
-            hit = [i for i in range(len(part)) if (alike(sk, n, i, threshold)[part != part[i]] > 0).any()]
-            if hit:
-                yield pa.RecordBatch.from_arrays([g.column(c).take(pa.array(hit)) for c in ("node", "id", "n", "part", "sketch")], names=["node", "id", "n", "part", "sketch"])
+            part, n, sk, tree = g.column("part").to_numpy(), g.column("n").to_numpy(), _matrix(g.column("sketch"), np.uint8, SKETCH), g.column("tree")[0].as_py()
+            trees, hit = _matrix(g.column("trees"), np.uint64, TREES), np.zeros(len(part), bool)
+            for i in _minor(part):
+                other = _new(trees, tree, i, np.flatnonzero((alike(sk, n, i, threshold) > 0) & (part != part[i])))
+                hit[other] = True
+                hit[i] |= len(other) > 0
+            if hit.any():
+                yield g.filter(pa.array(hit)).select(MEMBER)
 
     return run
 
 
+def _minor(part: np.ndarray) -> np.ndarray:
+    """The members outside the node's main component: every pair of different components has one."""
+    _, of, count = np.unique(part, return_inverse=True, return_counts=True)
+    return np.flatnonzero(of != count.argmax())
+
+
 def _reach(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     """|x & y| >= threshold * |x | y|, decided in whole numbers."""
     if len(x) > len(y):
@@ -167,19 +187,19 @@ def _reach(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
 
 
 def exhaustive(threshold: float):
-    """Per node: links confirmed on full sets between members of different components, as many as connect them."""
+    """Per node: pairs of components with a link that full sets confirm, as many as connect them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "node"):
-            ids, n, part, sk = (g.column("id").to_numpy(), g.column("n").to_numpy(), g.column("part").to_numpy().copy(), _matrix(g.column("sketch"), np.uint8, SKETCH))
-            sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in g.column("set")]
-            left, right = [], []
-            for i in range(len(ids)):
-                for j in np.flatnonzero((alike(sk, n, i, threshold) > 0) & (part != part[i])):
-                    if part[i] != part[j] and _reach(sets[i], sets[j], threshold):
-                        left.append(min(ids[i], ids[j]))
-                        right.append(max(ids[i], ids[j]))
-                        part[part == part[j]] = part[i]
+            part, n, sk, tree = g.column("part").to_numpy(), g.column("n").to_numpy(), _matrix(g.column("sketch"), np.uint8, SKETCH), g.column("tree")[0].as_py()
+            trees, sets = _matrix(g.column("trees"), np.uint64, TREES), [np.frombuffer(b.as_buffer(), np.uint64) for b in g.column("set")]
+            left, right, now = [], [], part.copy()
+            for i in _minor(part):
+                for j in _new(trees, tree, i, np.flatnonzero((alike(sk, n, i, threshold) > 0) & (part != part[i]))):
+                    if now[i] != now[j] and _reach(sets[i], sets[j], threshold):
+                        left.append(part[i])
+                        right.append(part[j])
+                        now[now == now[j]] = now[i]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
@@ -221,7 +241,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     """Large nodes of one main component: its members are dealt into parts of about LEAF, and the few others go to each part."""
     k = F.ceil(F.col("c") / LEAF).cast("int")
     here = F.when(F.col("part") == F.col("major"), F.array(F.pmod(F.xxhash64("id", "node"), k).cast("int"))).otherwise(F.sequence(F.lit(0), k - 1))
-    return rows.select(F.explode(here).alias("at"), "node", "id", "part").select(F.xxhash64("node", "at").alias("node"), "id", "part")
+    return rows.select(F.explode(here).alias("at"), "node", "tree", "id", "part").select(F.xxhash64("node", "at").alias("node"), "tree", "id", "part")
 
 
 def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -233,56 +253,65 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = cut(docs.mapInArrow(features(shingle), "doc_id long, n long, h binary, mh binary, sketch binary"), "features")
-    base = feats.where("doc_id is not null")
-    classes = base.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("rep"))
-    members = cut(feats.select("doc_id", "n", "h").join(classes, "h", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
-    reps = members.where("doc_id = rep and n > 0").select(F.col("rep").alias("doc_id")).distinct()
-    info = cut(base.where("n > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("id"), "n", "mh", "sketch"), "representatives")
+    feats = cut(docs.mapInArrow(features(shingle), "doc_id long, n long, h binary, trees binary, sketch binary").withColumn("row", F.monotonically_increasing_id()), "features")
+    # Equal sets: the first row of the least doc_id stands for all. Null ids and empty sets are in no class.
+    classes = cut(feats.where("doc_id is not null and h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("c")).select("h", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), "c"), "classes")
+    known = feats.withColumn("h", F.when(F.col("doc_id").isNotNull(), F.col("h")))
+    members = look_up(known.select("doc_id", "n", "h"), classes.drop("row"), ["h"], "c", "left")
+    members = cut(members.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
+    only = small(classes.select("row"), classes.count())
+    info = cut(feats.join(only, "row").select(F.col("doc_id").alias("id"), "n", "trees", "sketch"), "representatives")
     drop(feats)
+    drop(classes)
 
     # The trees: nodes that hold two or more.
-    at = cut(_alive(info.select("id", "mh").mapInArrow(nodes, "node long, id long")), "nodes")
+    at = cut(_alive(info.select("id", "trees").mapInArrow(nodes, "node long, tree byte, id long")), "nodes")
     leaves, large = at.where(f"c <= {LEAF}"), at.where(f"c > {LEAF}")
-    sketched = info.select("id", "n", "sketch")
     # Large nodes are dealt at random into parts of about LEAF: proposals of 24 trees connect what is alike throughout.
     parts_of = F.ceil(F.col("c") / LEAF)
     dealt = F.when(F.col("c") > LEAF, F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), parts_of))).otherwise(F.col("node"))
-    first = at.select(dealt.alias("node"), "id").join(sketched, "id")
+    first = at.select(dealt.alias("node"), "id").join(info.select("id", "n", "sketch"), "id")
     pairs = cut(_sorted(first, "node").mapInArrow(proposals(threshold), "a long, b long").distinct(), "proposals")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(_sets_of(docs, ids, shingle), "sets")
     paired = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     links = cut(paired.mapInArrow(confirm(threshold), "a long, b long"), "links")
     drop(sets)
+    drop(pairs)
     parts = components(links)
 
     # What different components still share a node: large nodes in parts, then every pair.
     part = cut(info.select("id").distinct().join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part")), "parts")
-    known = sketched.join(part, "id")
-    kept = [_mixed(leaves.select("node", "id").join(part, "id"))]
-    large = cut(_mixed(large.select("node", "id").join(part, "id")), "large")
+    drop(links)
+    kept = [_mixed(leaves.select("node", "tree", "id").join(part, "id"))]
+    large = cut(_mixed(large.select("node", "tree", "id").join(part, "id")), "large")
+    held = [at, large]
     if not large.isEmpty():
         per = large.groupBy("node", "part").agg(F.count("*").alias("c"))
         whole = per.groupBy("node").agg(F.max_by("part", F.struct("c", "part")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("c"))
         told = cut(large.join(whole, "node"), "large")
         kept.append(_dealt(told.where(f"c - most <= {LEAF}")))
-        many = told.where(f"c - most > {LEAF}").select("node", "id", "part")
+        many = told.where(f"c - most > {LEAF}").select("node", "tree", "id", "part")
+        held.append(told)
         if not many.isEmpty():
-            ranges = cut(_mixed(_by_size(many.join(info.select("id", "n"), "id"), threshold).select("node", "id", "part")), "ranges")
+            ranges = cut(_mixed(_by_size(many.join(info.select("id", "n"), "id"), threshold).select("node", "tree", "id", "part")), "ranges")
             kept.append(_mixed(_in_blocks(ranges)))
-    meet = kept[0].select("node", "id")
+            held.append(ranges)
+    meet = kept[0].select("node", "tree", "id", "part")
     for k in kept[1:]:
-        meet = meet.union(k.select("node", "id"))
-    shape = "node long, id long, n long, part long, sketch binary"
-    odd = cut(_sorted(meet.join(known, "id"), "node").mapInArrow(strangers(threshold), shape), "strangers")
+        meet = meet.union(k.select("node", "tree", "id", "part"))
+    shape = "node long, tree byte, id long, n long, part long, trees binary, sketch binary"
+    odd = cut(_sorted(meet.join(info, "id"), "node").mapInArrow(strangers(threshold), shape), "strangers")
     more = cut(_sets_of(docs, odd.select("id").distinct(), shingle), "sets")
     extra = cut(_sorted(odd.join(more, "id"), "node").mapInArrow(exhaustive(threshold), "a long, b long"), "links")
-    drop(more)
-    drop(odd)
-    found = components(links.union(extra)) if not extra.isEmpty() else parts
-    out = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
+    if not extra.isEmpty():  # components that belong together
+        joined = components(extra).withColumnsRenamed({"id": "part", "component": "whole"})
+        part = part.join(small(joined), "part", "left").select("id", F.coalesce("whole", "part").alias("part"))
+    found = cut(part.dropDuplicates(["id"]).join(members.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("c")), "id"), "found")
+    for table in (more, odd, extra, info, *held):
+        drop(table)
+    out = look_up(members, found.select(F.col("id").alias("rep"), "part", "c"), ["rep"], "c", "left")
+    component = F.coalesce("part", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most 64 bytes that a join may broadcast (64 MB); beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of at most 64 bytes that a join may broadcast (32 MB); beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,25 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def look_up(rows: DataFrame, found: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with found, which has one row for each key of on and, in count, how many of rows have that key.
+
+    Few keys are broadcast. Of more, those with over one in BROADCAST_ROWS of all rows are: they are fewer than that. Any other
+    key has too few rows to weigh on a task, and both sides are shuffled. found is read several times: write it first. Of
+    joins, "inner" and "left" can be made; under "left" rows with a null key stay as they are.
+    """
+    n, total = found.agg(F.count("*"), F.sum(count)).first()
+    found = found.withColumnRenamed(count, "_count")
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found.drop("_count")), on, how)
+    hot = F.broadcast(found.where(F.col("_count") > total / BROADCAST_ROWS).drop("_count"))
+    cold = found.where(F.col("_count") <= total / BROADCAST_ROWS).drop("_count")
+    whole = " and ".join(f"`{c}` is not null" for c in on)
+    keyed = rows.where(whole)
+    out = keyed.join(hot, on).unionByName(keyed.join(hot.select(*on), on, "left_anti").join(cold, on, how))
+    return out if how == "inner" else out.unionByName(rows.where(f"not ({whole})"), allowMissingColumns=True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as no column of df has."""
     taken = {c.lower() for c in df.columns}
