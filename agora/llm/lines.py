@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.shared import BROADCAST_ROWS, cut, fresh, small
+from agora.llm.shared import cut, drop, fresh, look_up, small
 
 WINDOW = 3
 
@@ -27,11 +27,15 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), line.alias("x"), other.alias("y")).where(F.size("x") >= window)
     at = F.transform(F.sequence(F.lit(0), F.size("x") - window), lambda i: F.struct(F.xxhash64(*(F.get("x", i + k) for k in range(window))).alias("a"), F.hash(*(F.get("y", i + k) for k in range(window))).alias("b")))
     places = cut(hashed.select("doc_id", F.posexplode(at).alias("line", "w")).select("doc_id", "line", "w.a", "w.b"), "windows")
-    place = F.struct("doc_id", "line")
-    firsts = places.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("a", "b", "first")
-    later = places.join(firsts, ["a", "b"]).where(place != F.col("first")).select("doc_id", "line").distinct()
-    sorted_lines = F.array_sort(F.collect_list("line"))
-    return later.groupBy("doc_id").agg(sorted_lines.alias("lines")).select("doc_id", _merged(F.col("lines"), window).alias("spans"))
+    # A place as one number, by which hash aggregates can take the first; repeated rows of a document count once.
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line")
+    firsts = places.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("c")).where("first <> last").select("a", "b", "first", "c")
+    firsts = cut(firsts, "firsts")
+    later = look_up(places, firsts, ["a", "b"], "c").where(place != F.col("first")).select("doc_id", "line")
+    out = cut(later.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")).select("doc_id", _merged(F.col("lines"), window).alias("spans")), "covered")
+    drop(places)
+    drop(firsts)
+    return out
 
 
 def _merged(lines: Column, window: int) -> Column:
@@ -60,12 +64,12 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     alone. Repeated rows of one doc_id count as one document: its windows repeat themselves only at other lines. Columns of docs
     named n_lines or n_removed are replaced. An empty table gives no rows.
     """
-    spans = cut(covered(docs, window), "covered")
-    n = spans.count()
+    spans = covered(docs, window)
+    n = spans.agg(F.sum(F.size("spans") + 4)).first()[0] or 0  # by 8 bytes a span, and what a row has besides
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     ident, held = fresh(docs, "_lines_id"), fresh(docs, "_lines_spans")
     side = spans.select(F.col("doc_id").alias(ident), F.col("spans").alias(held))
-    joined = docs.join(small(side, 8 * n if n <= BROADCAST_ROWS // 8 else n + BROADCAST_ROWS), F.col("doc_id") == F.col(ident), "left")
+    joined = docs.join(small(side, -(-n // 8)), F.col("doc_id") == F.col(ident), "left")
     new = F.when(F.col(held).isNull(), F.col("text")).otherwise(remaining(F.col("text"), F.col(held)))
     gone = F.aggregate(held, F.lit(0), lambda t, s: t + s["e"] - s["s"])
     return joined.select(*(new.alias(c) if c == "text" else docs[c] for c in keep), F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"))
