@@ -6,6 +6,7 @@ polynomials over the bytes, taken as differences of one running sum, then mixed.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,6 @@ FOLDED = PLAIN.copy()
 FOLDED[65:91] = PLAIN[97:123]
 BASE = 0x9E3779B97F4A7C15
 WINDOW = 1 << 19
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,14 +31,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n + 1:
+    """Powers 0..n of the base and of its inverse modulo 2**64, kept by the process: a global here would go with each function."""
+    kept = vars(sys).setdefault("_agora_powers", {})
+    if len(kept.get("up", ())) < n + 1:
         size = max(n + 1, 2 * WINDOW)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             a = np.full(size, base, np.uint64)
             a[0] = 1
-            _powers[name] = np.cumprod(a, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+            kept[name] = np.cumprod(a, dtype=np.uint64)
+    return kept["up"], kept["down"]
 
 
 def sums(buf: np.ndarray, values: np.ndarray = PLAIN) -> np.ndarray:
