@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from agora.llm import tokens
 from agora.llm.graph import components
-from agora.llm.shared import cut, drop, look_up, small
+from agora.llm.shared import bounded, cut, drop, look_up, release, small
 
 TREES, FIRST, LEAF, SKETCH = 24, 3, 400, 96
 #: Sketches of two sets at the threshold agree in at least this share of threshold * SKETCH bytes.
@@ -251,7 +251,7 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     null doc_id are left out of the search: they come back with a null component and are kept. Repeated rows come back as
     often as they came; rows that share a doc_id share a component. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = cut(docs.mapInArrow(features(shingle), "doc_id long, n long, h binary, trees binary, sketch binary").withColumn("row", F.monotonically_increasing_id()), "features")
     # Equal sets: the first row of the least doc_id stands for all. Null ids and empty sets are in no class.
@@ -278,6 +278,7 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     links = cut(paired.mapInArrow(confirm(threshold), "a long, b long"), "links")
     drop(sets)
     drop(pairs)
+    release(docs.sparkSession)
     parts = components(links)
 
     # What different components still share a node: large nodes in parts, then every pair.
@@ -310,6 +311,7 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     found = cut(part.dropDuplicates(["id"]).join(members.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("c")), "id"), "found")
     for table in (more, odd, extra, info, *held):
         drop(table)
+    release(docs.sparkSession)
     out = look_up(members, found.select(F.col("id").alias("rep"), "part", "c"), ["rep"], "c", "left")
     component = F.coalesce("part", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.llm import tokens
-from agora.llm.shared import cut, fresh
+from agora.llm.shared import bounded, cut, fresh
 
 CHUNK, SPREAD = 1 << 14, 1 << 20
 #: Distinct segments, and pairs of pieces, that a task remembers.
@@ -662,7 +662,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, spread: int = S
     that keeps texts as they are, on any file system that Spark reads. The chunks of texts of spread bytes or more are dealt out.
     """
     spark = docs.sparkSession
-    blob = load(spark, model_path)
+    blob = load(bounded(spark), model_path)
     docs = docs.drop("ids", "n_chunks")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>, n_chunks long"
     long = F.coalesce(F.octet_length("text") >= spread, F.lit(False))
@@ -679,7 +679,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, spread: int = S
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
     """rows (ids array<int>) with text (string) replaced or added: what the ids stand for. Null ids give null text."""
-    blob = load(rows.sparkSession, model_path)
+    blob = load(bounded(rows.sparkSession), model_path)
     rows = rows.drop("text")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", text string"
 
@@ -705,7 +705,7 @@ def digests(rows: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_chars, n_tokens, n_chunks, ids_sha256, exact): the digest of the ids as 32-bit little-endian numbers, and whether
     they decode to the text again. rows: doc_id, text, ids, n_chunks; null texts count as empty and null ids as none, a null
     doc_id stays null. Repeated rows come back as often as they came. An empty table gives no rows."""
-    blob = load(rows.sparkSession, model_path)
+    blob = load(bounded(rows.sparkSession), model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(blob)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.secrets import in_points, joined, texts
-from agora.llm.shared import cut, small
+from agora.llm.shared import bounded, cut, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -187,6 +187,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, counts, base, ...) of each of rows (row, doc_id, text), and (row, n_term, spans, clean) of those that hold an
     entity. row is unique."""
+    bounded(rows.sparkSession)
     told_by = rows.select(F.struct("doc_id", "row").alias("row"), "text").mapInArrow(_base, BASE_SHAPE)
     found = cut(told_by.select("row.doc_id", "row.row", *told_by.columns[1:]), "pii")
     holding = found.where("text is not null")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm import tokens
+from agora.llm.shared import bounded
 
 MIN_WORDS, WINDOW = 50, 3
 #: Of 100 characters in words, those inside repeated n-grams, by n; those in repeated lines; symbols for each 100 words.
@@ -82,7 +83,7 @@ def _run(keep: list[str], names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch):
+            for part in tokens.slices(batch, size=1 << 19):
                 found = measure(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(found[c], pa.int64()) for c in COLUMNS)], names=[*keep, *names])
 
@@ -105,6 +106,7 @@ def assess(docs: DataFrame) -> DataFrame:
     A null text counts as empty: it has no words, fails the base rule and is not kept. A null doc_id stays null. Repeated rows
     come back as often as they came. Other columns of docs are not read. An empty table gives no rows.
     """
+    bounded(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(_run(["doc_id"], list(COLUMNS)), "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS))
     failed, kept = _verdict()
@@ -112,8 +114,15 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of docs that assess() would keep, with all their columns; text must be a string column."""
+    """The rows of docs that assess() would keep, with all their columns; text must be a string column.
+
+    Null and empty texts go, as assess() keeps none; repeated rows go or stay alike, a null doc_id makes no difference. Columns
+    may have any names but text's twice. An empty table gives no rows.
+    """
+    bounded(docs.sparkSession)
     prefix = "_quality_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + "".join(f", {prefix}{c} long" for c in COLUMNS)
     found = docs.mapInArrow(_run(docs.columns, [prefix + c for c in COLUMNS]), shape)
     return found.where(_verdict(prefix)[1]).select(*docs.columns)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm import tokens
+from agora.llm.shared import bounded
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -112,6 +113,7 @@ def scan(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = None) -> D
     access keys from 20, hex runs from 24. Repeated rows come back as often as they came; a null doc_id stays null; other
     columns are not read. An empty table gives no rows. samples: labelled (string, 1 if random), else labelled_samples().
     """
+    bounded(docs.sparkSession)
     model = train(labelled_samples() if samples is None else samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +134,7 @@ def scan(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = None) -> D
 
 def redact(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = None) -> DataFrame:
     """docs with each found span replaced by its kind in brackets; null texts stay null, all columns stay."""
+    bounded(docs.sparkSession)
     model = train(labelled_samples() if samples is None else samples)
     shape = docs.schema
     at = shape.names.index("text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of at most 64 bytes that a join may broadcast (32 MB); beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
+BATCH, BATCH_BYTES = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
+    """The cluster's shared folder; a temporary one only where a session on one machine names none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="agora-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,7 +41,7 @@ def drop(df: DataFrame) -> None:
     """Delete what cut() wrote, when nothing will read it again."""
     spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/agora/" in path:
+        if re.search(r"/agora/[^/]+-[0-9a-f]{32}$", path):
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -46,6 +51,22 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver: only then does Spark's cleaner see which shuffle files and broadcasts of rounds that are
+    over can go, on the driver and on the executors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """spark, its batches for Python workers held to BATCH bytes, unless the session's owner has set another bound than Spark's.
+
+    A batch exists several times in a task's memory, in the JVM and in the worker."""
+    if spark.conf.get(BATCH_BYTES, None) == "67108864b":
+        spark.conf.set(BATCH_BYTES, str(BATCH))
+    return spark
+
+
 def look_up(rows: DataFrame, found: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
     """rows joined with found, which has one row for each key of on and, in count, how many of rows have that key.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.shared import cut, shared_dir, small
+from agora.llm.shared import bounded, cut, shared_dir, small
 
 LEAST = 100
 PER_FILE = 6000
@@ -132,7 +132,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return bounded(spark).read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
