@@ -2,6 +2,7 @@
 
 Two models of character pairs, one of random strings and one of ordinary identifiers, are trained from labelled samples. A
 token is reported as kind "random" if the log-likelihood ratio of the models says so by MARGIN and it meets no other span.
+Tokens of letters alone are scored as any other.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 HEX_LONG = re.compile(rb"[0-9a-f]{24}")
-#: Candidates for the models: long runs that hold a digit, a letter and no more than these characters.
+#: Candidates for the models: all long runs of these characters, letters or digits alone among them.
 TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-MARGIN = 10.0
+#: A token is random if the ratio reaches MARGIN and SLOPE for each of its characters.
+MARGIN, SLOPE = 4.0, 0.4
 SAMPLES = 6000
 _CODE = np.zeros(256, np.int64)
 _CODE[list(ALPHABET.encode())] = np.arange(1, len(ALPHABET) + 1)
@@ -37,9 +39,9 @@ SHAPE = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 st
 
 def labelled_samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int]]:
     """n strings by rule, one half random (1: keys in hex, base 64 and alphanumerics), one half identifiers (0: compound words,
-    paths, dates and numbered names). n bounds the samples."""
+    paths, dates, numbered names and rulers). n bounds the samples."""
     rng = random.Random(seed)
-    onset, rhyme = ["b", "br", "c", "ch", "d", "f", "g", "h", "j", "l", "m", "n", "p", "pr", "qu", "r", "s", "st", "t", "th", "tr", "v", "w"], ["a", "an", "ar", "e", "ed", "en", "er", "es", "i", "in", "ing", "ion", "ity", "ly", "o", "on", "or", "ou", "re", "ti", "u", "und"]
+    onset, rhyme = ["b", "br", "c", "ch", "d", "f", "g", "h", "j", "l", "m", "n", "p", "pr", "qu", "r", "s", "st", "t", "th", "tr", "v", "w", "", "bl", "cl", "fr", "gl", "gr", "k", "kl", "ph", "pl", "sch", "sh", "sp", "str", "x", "y", "z"], ["a", "an", "ar", "e", "ed", "en", "er", "es", "i", "in", "ing", "ion", "ity", "ly", "o", "on", "or", "ou", "re", "ti", "u", "und", "al", "as", "ch", "eit", "eau", "el", "ent", "heit", "ial", "ich", "ie", "ist", "ive", "keit", "le", "ment", "os", "ous", "ow", "per", "ry", "st", "ung", "ur", "us", "y"]
     word = lambda: "".join(rng.choice(onset) + rng.choice(rhyme) for _ in range(rng.randint(1, 3)))
     out = []
     for k in range(n // 2):
@@ -47,7 +49,8 @@ def labelled_samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int]]:
         out.append(("".join(rng.choice(letters) for _ in range(rng.randint(20, 64))), 1))
         words = [word() for _ in range(rng.randint(3, 6))]
         join = ("_".join, "-".join, "".join, "/".join, lambda w: "".join(x.title() for x in w), lambda w: "_".join(w).upper(), lambda w: "_".join(w) + str(rng.randint(1, 2030)), lambda w: f"20{rng.randint(10, 30)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}_" + "-".join(w))[k % 8]
-        out.append((join(words), 0))
+        rule = rng.choice(ALPHABET) * rng.randint(20, 64)  # a ruler or a blacked-out value
+        out.append((rule if k % 9 == 8 else join(words), 0))
     return out
 
 
@@ -78,10 +81,11 @@ def find(data: bytes, model: np.ndarray) -> list[tuple[int, str, int]]:
             out.append((m.start(), "access", m.end()))
     if HEX_LONG.search(data):
         out += [(m.start(), "hex", m.end()) for m in HEX.finditer(data) if m.end() - m.start() >= 24]
-    base = list(out)
+    apart, at = sorted((a, b) for a, _, b in out), 0
     for m in TOKEN.finditer(data):
-        t = m.group()
-        if not t.isalpha() and re.search(rb"[0-9]", t) and re.search(rb"[A-Za-z]", t) and not any(a < m.end() and m.start() < b for a, _, b in base) and score(t, model) >= MARGIN:
+        while at < len(apart) and apart[at][1] <= m.start():
+            at += 1
+        if not (at < len(apart) and apart[at][0] < m.end()) and score(m.group(), model) >= MARGIN + SLOPE * len(m.group()):
             out.append((m.start(), "random", m.end()))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
