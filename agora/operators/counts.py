@@ -10,7 +10,7 @@ from agora.functions import text
 
 #: How sources spell a vote, by bucket.
 FEDERAL = {"yea": ("yea", "aye", "yes"), "nay": ("nay", "no"), "present": ("present",), "notVoting": ("not voting", "not voting.")}
-STATE = {"yea": ("yea",), "nay": ("nay",), "notVoting": ("nv", "not voting", "abstain", "abstention"), "absent": ("absent", "excused")}
+STATE = {"yea": ("yea", "yes", "aye"), "nay": ("nay", "no"), "notVoting": ("nv", "not voting", "abstain", "abstention"), "absent": ("absent", "excused")}
 SUMMARY = ("Yea", "Nay", "Aye", "No", "Present", "Not Voting")
 STATUSES = ("ok", "no_releases", "error", "skipped")
 

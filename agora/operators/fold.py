@@ -83,18 +83,37 @@ def classify_candidates(releases: DataFrame, completed: DataFrame, most: int) ->
     return done.select("member", "releases", status.alias("status"))
 
 
+def _pieces(x: object) -> list[str]:
+    """Text in an answer's content: a string, or a list of strings and of objects with text."""
+    if isinstance(x, str):
+        return [x]
+    found = [p.get("text") if isinstance(p, dict) else p for p in x] if isinstance(x, list) else []
+    return [p for p in found if isinstance(p, str)]
+
+
+def answer_text(answer: dict) -> str:
+    """output_text, or else all text under output, or else the message of the first choice; trimmed."""
+    if direct := "".join(_pieces(answer.get("output_text"))).strip():
+        return direct
+    under = [p for o in answer.get("output") or [] if isinstance(o, dict) for p in _pieces(o.get("content"))]
+    if joined := "".join(under).strip():
+        return joined
+    first = next(iter(answer.get("choices") or []), None)
+    message = first.get("message") if isinstance(first, dict) else None
+    return "".join(_pieces(message.get("content"))).strip() if isinstance(message, dict) else ""
+
+
 def event_text(lines: list[str]) -> str:
-    """The text of a streamed answer: blank and comment lines and the end mark are skipped, bad JSON too; an error event raises;
-    a final object beats the deltas; no text at all raises."""
+    """The text of a streamed answer, one event in JSON to a line, with or without "data:" before it.
+
+    Blank and comment lines and the end mark are skipped, as is what is no JSON object; an error event raises; the text of the
+    last whole answer beats the deltas; no text at all raises."""
     import json
 
-    deltas, final = [], ""
-    for line in lines:
-        line = line.strip()
-        if not line or line.startswith(":") or not line.startswith("data:"):
-            continue
-        raw = line[5:].strip()
-        if raw == "[DONE]":
+    deltas, final = [], None
+    for line in map(str.strip, lines):
+        raw = line.removeprefix("data:").strip()
+        if not raw or raw == "[DONE]" or line.startswith(":"):
             continue
         try:
             event = json.loads(raw)
@@ -102,16 +121,15 @@ def event_text(lines: list[str]) -> str:
             continue
         if not isinstance(event, dict):
             continue
-        if event.get("error") or event.get("type") == "error":
-            raise RuntimeError(f"the stream reports an error: {event.get('error')}")
-        whole = event.get("response") if isinstance(event.get("response"), dict) else event
-        if isinstance(whole.get("output"), list):
-            final = "".join(c.get("text") or "" for o in whole["output"] if isinstance(o, dict) for c in o.get("content") or [] if isinstance(c, dict)) or final
-        choice = (event.get("choices") or [{}])[0]
-        part = event.get("delta") or event.get("text") or event.get("output_text") or ((choice.get("delta") or {}).get("content") if isinstance(choice, dict) else None)
-        if isinstance(part, str):
-            deltas.append(part)
-    out = final or "".join(deltas)
+        if event.get("type") in ("error", "response.error"):
+            error = event.get("error", {})
+            raise RuntimeError(f"the stream reports an error: {error.get('message', 'unknown') if isinstance(error, dict) else error}")
+        for whole in (event.get("response"), event if isinstance(event.get("output"), list) else None):
+            final = whole if isinstance(whole, dict) else final
+        choice = next(iter(event.get("choices") or []), None) if isinstance(event.get("choices"), list) else None
+        delta = choice.get("delta") if isinstance(choice, dict) else None
+        deltas += [x for x in (event.get("delta"), event.get("text")) if isinstance(x, str)] + _pieces(event.get("output_text")) + _pieces(delta.get("content") if isinstance(delta, dict) else None)
+    out = (answer_text(final) if final else "") or "".join(deltas).strip()
     if not out:
         raise RuntimeError("the stream holds no text")
     return out

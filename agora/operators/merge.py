@@ -36,6 +36,15 @@ def with_defaults(left: DataFrame, right: DataFrame, key: str, defaults: dict[st
     return out.select(*left.columns, *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()))
 
 
+def with_first(left: DataFrame, right: DataFrame, key: str, order: list[Column], defaults: dict[str, object]) -> DataFrame:
+    """with_defaults() for identifiers in any case: keys are trimmed and in upper case on either side, and of right's rows with
+    one key the first by order stands. Null keys match nothing."""
+    canonical = F.upper(F.trim(F.col(key)))
+    one = earliest(right.withColumn(key, canonical).where(F.col(key).isNotNull()), [key], order).select(key, *defaults)
+    out = left.withColumn(key, canonical).join(dimension(one), key, "left")
+    return out.select(*left.columns, *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()))
+
+
 def present(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key), key, "left_semi")
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 
 from agora import schemas
 from agora.functions import text
+from agora.functions.fuzzy import repair_text
 
 
 def json_documents(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -90,7 +93,15 @@ def read_through(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFra
     return cache.join(wanted.select(key).distinct(), key, "left_semi"), wanted.select(key).distinct().join(cache.select(key), key, "left_anti")
 
 
+#: The path of a release's page, its date, and where its head states a time.
+RELEASE = re.compile(r"/media/press-releases/[^/?#]+/?")
+LONG_DATE = re.compile(r"[A-Za-z]+\s+\d{1,2},\s+\d{4}")
+PUBLISHED = re.compile(r'<meta[^>]*property="article:published_time"[^>]*content="([^"]+)"', re.IGNORECASE)
+
+
 class _Listing(HTMLParser):
+    """Links of anchors to releases on the same host, and the last anchor whose relation holds "next"."""
+
     def __init__(self) -> None:
         super().__init__()
         self.links: list[str] = []
@@ -98,17 +109,16 @@ class _Listing(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
-        href = a.get("href")
-        if tag not in ("a", "link") or not href:
-            return
-        if "next" in (a.get("rel") or "").split():
-            self.next = href
-        elif "/media/press-releases/" in href and href.split("/media/press-releases/", 1)[1].strip("/"):
+        href = a.get("href") or ""
+        if tag == "a" and RELEASE.fullmatch(href):
             self.links.append(href)
+        if tag == "a" and href and "next" in (a.get("rel") or "").lower():
+            self.next = href
 
 
 class _Detail(HTMLParser):
-    """Title, date and body by the classes of the tags that hold them; the body ends where its div closes."""
+    """Title, date and body by the classes of the tags that hold them; the body ends where its div closes. A date may stand in
+    any date div, as some pages have others first; release_details() takes the first alone."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -147,6 +157,85 @@ class _Detail(HTMLParser):
             self.body.append(data.strip())
 
 
+class _Page(HTMLParser):
+    """Where a release's parts lie in its page: data of h1, data of the first date div with any, and the body div's inside."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=False)
+        self.title, self.date, self.inside = "", "", None
+        self._h1 = self._day = False
+        self._depth = 0
+        self._lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.feed(html)
+        if self._depth:
+            self.inside = self.inside[0], len(html)
+
+    def _place(self) -> int:
+        line, column = self.getpos()
+        return self._lines[line - 1] + column
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        classes = dict(attrs).get("class") or ""
+        self._h1 |= tag == "h1"
+        if tag != "div":
+            return
+        self._day |= "col-auto" in classes and not self.date
+        if self._depth:
+            self._depth += 1
+        elif "evo-press-release__body" in classes and self.inside is None:
+            begin = self._place() + len(self.get_starttag_text())
+            self.inside, self._depth = (begin, begin), 1
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        pass
+
+    def handle_endtag(self, tag: str) -> None:
+        self._h1 &= tag != "h1"
+        if tag == "div":
+            self._day = False
+            self._depth = max(0, self._depth - 1)
+            if self.inside and not self._depth and self.inside[0] == self.inside[1]:
+                self.inside = self.inside[0], self._place()
+
+    def handle_data(self, data: str) -> None:
+        self.title += data if self._h1 else ""
+        self.date += data if self._day else ""
+
+
+class _Text(HTMLParser):
+    def __init__(self, html: str) -> None:
+        super().__init__()
+        self.parts: list[str] = []
+        self.feed(unescape(html))
+        self.close()
+
+    def handle_data(self, data: str) -> None:
+        self.parts += data.split()
+
+
+def page_parts(html: str | None) -> tuple[str | None, ...]:
+    """(title, date, publishedTime, bodyHtml, bodyText) of a release's page; what it lacks is null."""
+    html = html or ""
+    page, head = _Page(html), PUBLISHED.search(html)
+    day = " ".join(page.date.split())
+    body = html[slice(*page.inside)] if page.inside else ""
+    body = re.sub(r">\s+<", "><", re.sub(r"(?s)<!--.*?-->", "", body).strip())
+    body = repair_text(body) or ""
+    return repair_text(" ".join(_Text(page.title).parts)) or None, day if LONG_DATE.fullmatch(day) else None, head[1].strip() if head else None, body or None, repair_text(" ".join(_Text(body).parts)) or None
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "date", "publishedTime", "bodyHtml", "bodyText")]))
+def _parts(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([page_parts(h) for h in html], columns=["title", "date", "publishedTime", "bodyHtml", "bodyText"])
+
+
+def release_details(url: Column, html: Column) -> Column:
+    """A release from its page: the date is that of the first date div with any text, null if it is no date."""
+    p = _parts(html)
+    fixed = lambda c: F.nullif(text.repair_artifacts(p[c]), F.lit("")).alias(c)
+    return F.struct(url.alias("url"), fixed("title"), p["date"].alias("date"), p["publishedTime"].alias("publishedTime"), fixed("bodyHtml"), fixed("bodyText"))
+
+
 @F.pandas_udf(T.StructType([T.StructField("links", T.ArrayType(T.StringType())), T.StructField("next", T.StringType())]))
 def listing(url: pd.Series, html: pd.Series) -> pd.DataFrame:
     out = []
