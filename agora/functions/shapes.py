@@ -52,8 +52,96 @@ def bill_record(b: Column) -> Column:
     return F.struct(b["congress"].alias("congress"), b["type"].alias("type"), b["number"].alias("number"), b["title"].alias("title"), names.alias("subjects"), F.coalesce(b["cosponsors"], F.lit(0)).alias("cosponsors"))
 
 
-def person(p: Column) -> Column:
-    return F.struct(p["people_id"].alias("peopleId"), _or_empty(p["name"]).alias("name"), _or_empty(p["party"]).alias("party"), _or_empty(p["role"]).alias("role"), _or_empty(p["district"]).alias("district"))
+#: The fields of a person, as the source names them and as they are kept.
+PERSON = {"people_id": "peopleId", "name": "name", "first_name": "firstName", "middle_name": "middleName", "last_name": "lastName", "suffix": "suffix", "party": "party", "role": "role", "district": "district", "state": "state", "state_id": "stateId"}
+
+
+def person(p: Column, fields: tuple[str, ...] = tuple(PERSON)) -> Column:
+    """The fields of a person that are kept, as they stand."""
+    return F.struct(*(p[c].alias(PERSON[c]) for c in fields))
+
+
+def sponsors(listed: Column) -> Column:
+    """Sponsors of a state bill; null entries go. Whether a committee sponsors is told by a number, 0 if it is none."""
+    return F.transform(F.filter(listed, lambda s: s.isNotNull()), lambda s: F.struct(
+        *(s[c].alias(PERSON[c]) for c in ("people_id", "name", "first_name", "last_name", "party", "role", "district")), s["sponsor_type_id"].alias("sponsorTypeId"), s["sponsor_order"].alias("sponsorOrder"),
+        (text.to_int(s["committee_sponsor"].cast("string")) != 0).alias("committeeSponsor"),
+    ))
+
+
+def _labelled(*parts: tuple[str, Column]) -> Column:
+    """"Label: text" for each text that is not empty, with a blank line between."""
+    return F.array_join(F.array_compact(F.array(*(F.when(_or_empty(x) != "", F.concat(F.lit(f"{label}: "), x)) for label, x in parts))), "\n\n")
+
+
+def bill_text(title: Column, summary: Column, subjects: Column, vote: Column) -> Column:
+    """What of a bill is embedded; tags of the summary go."""
+    return _labelled(("Title", title), ("Summary", text.strip_html(summary)), ("Topics", F.array_join(subjects, ", ")), ("Vote", vote))
+
+
+def release_text(title: Column, body: Column) -> Column:
+    return _labelled(("Title", title), ("Content", body))
+
+
+def embedding_candidate(title: Column, body: Column, most: int = 24_000) -> Column:
+    """(text, textSource, bodyCharCount): the body if it has 1 to most characters, else the title, else null."""
+    t, b = text.text_or_empty(title), text.text_or_empty(body)
+    n = F.char_length(b)
+    row = lambda x, source: F.struct(x.alias("text"), F.lit(source).alias("textSource"), n.alias("bodyCharCount"))
+    return F.when(n.between(1, most), row(b, "bodyText")).when(t != "", row(t, "title_fallback"))
+
+
+def vote_display(m: Column) -> Column:
+    """The columns of a roll call's table."""
+    return F.struct(*(m[c].alias(c) for c in ("name", "party", "state", "voteCast", "bioguideId", "lisMemberId")))
+
+
+def _of_member(m: Column) -> list[Column]:
+    return [m["bioguideId"].alias("bioguideId"), m["name"].alias("memberName"), m["party"].alias("party"), m["state"].alias("state")]
+
+
+def bill_payload(b: Column, m: Column) -> Column:
+    """What a bill's vector carries: the bill without tags, the member's vote, the member."""
+    kept = [b[c].alias(c) for c in ("billId", "congress", "type", "number", "title")] + [text.strip_html(b["summary"]).alias("summary")]
+    return F.struct(*kept, *(b[c].alias(c) for c in ("subjects", "cosponsors", "url", "memberVote", "voteDate", "rollCall", "session", "result")), *_of_member(m))
+
+
+def release_payload(r: Column, m: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.struct(*(r[c].alias(c) for c in ("id", "title", "date", "publishedTime", "url", "bodyText")), F.coalesce(r["topics"], none).alias("topics"), F.coalesce(r["relatedBills"], none).alias("relatedBills"), *_of_member(m))
+
+
+def state_vote_event(v: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """A state roll call: ids as they stand, passed as a truth value, the stated totals (0 where missing), the members and what
+    their votes add up to."""
+    total = lambda c: text.to_int(v[c].cast("string"))
+    stated = F.struct(total("yea").alias("yea"), total("nay").alias("nay"), total("nv").alias("notVoting"), total("absent").alias("absent"), total("total").alias("total"))
+    return F.struct(
+        v["roll_call_id"].alias("rollCallId"), v["date"].alias("date"), _or_empty(v["desc"]).alias("description"), v["chamber"].alias("chamber"), (text.to_int(v["passed"].cast("string")) != 0).alias("passed"),
+        stated.alias("totals"), vote_totals(v["votes"], table).alias("voteCountsFromMembers"), F.size(v["votes"]).alias("members"),
+    )
+
+
+def legacy_profile(raw: Column) -> Column:
+    """A profile in JSON as a map of topic to summary and evidence: a topic that is only text is its summary, with evidence 0."""
+    each = F.from_json(raw, "map<string, string>")
+    held = "struct<summary: string, evidence: int>"
+
+    def entry(v: Column) -> Column:
+        whole = F.from_json(v, held)
+        return F.when(F.startswith(F.ltrim(v), F.lit("{")), F.struct(_or_empty(whole["summary"]).alias("summary"), F.coalesce(whole["evidence"], F.lit(0)).alias("evidence"))).otherwise(F.struct(_or_empty(v).alias("summary"), F.lit(0).alias("evidence")))
+
+    return F.transform_values(each, lambda k, v: entry(v))
+
+
+def stance_prompt(topic: Column, first: Column, second: Column) -> Column:
+    """What a model is asked about two summaries of one topic: to compare them, in Markdown."""
+    return F.concat_ws("\n", F.concat(F.lit("Topic: "), text.topic_name(topic)), F.concat(F.lit("Votes say: "), F.coalesce(F.nullif(first, F.lit("")), F.lit("nothing"))), F.concat(F.lit("Releases say: "), F.coalesce(F.nullif(second, F.lit("")), F.lit("nothing"))), F.lit("Compare the two in Markdown: agreement, tension, evidence."))
+
+
+def step_prompt(topics: tuple[str, ...], title: Column, outcome: Column, summary: Column, most: int = 4000) -> Column:
+    """What a model is asked about one vote: the topics, then the bill and how the member voted."""
+    return F.concat_ws("\n", F.lit("Topics: " + ", ".join(topics)), F.concat(F.lit("Bill: "), _or_empty(title)), F.concat(F.lit("Vote: "), _or_empty(outcome)), F.concat(F.lit("Summary: "), F.substring(text.strip_html(summary), 1, most)))
 
 
 def vote_totals(members: Column, table: dict[str, tuple[str, ...]]) -> Column:

@@ -186,3 +186,9 @@ def response_text(payload: Column | str) -> Column:
     p = F.from_json(_col(payload), shape)
     parts = F.flatten(F.transform(p["output"], lambda o: F.transform(F.coalesce(o["content"], F.array().cast("array<struct<text:string>>")), lambda c: F.coalesce(c["text"], F.lit("")))))
     return F.coalesce(F.nullif(p["output_text"], F.lit("")), F.array_join(parts, ""), F.lit(""))
+
+
+def utc_now(form: str = "iso") -> Column:
+    """The time of the query in UTC as text: iso (+00:00), zulu (Z, whole seconds) or stamp (for names of files)."""
+    pattern = {"iso": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'", "zulu": "yyyy-MM-dd'T'HH:mm:ss'Z'", "stamp": "yyyyMMdd'T'HHmmss"}[form]
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), pattern)

@@ -6,11 +6,12 @@ against all rows go in blocks of a checked size, so that no task or broadcast ho
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.operators.order import top_per_group
@@ -119,14 +120,20 @@ def neighbour_edges(near: DataFrame, mutual: bool, most: float | None = None) ->
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2" if mutual else "n >= 1").select("a", "b")
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """The folder for checkpoints: what the session names, a temporary one only where a session on one machine names none."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="agora-"))
+
+
 def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the least id that edges (a, b) reach, for each id of vertices. Each round passes labels along edges and
     then to the label's own label, so that rounds grow with the logarithm of the paths."""
-    spark = vertices.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    _checkpoints(vertices.sparkSession)
     both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v").checkpoint()
     now = vertices.select("id", F.col("id").alias("component")).checkpoint()
     for _ in range(rounds):
@@ -143,10 +150,17 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataF
 
 def cluster_labels(parts: DataFrame, least: int) -> DataFrame:
     """(id, cluster): components of least members or more, numbered from 0 by size and then by their least id; the rest is -1."""
+    _checkpoints(parts.sparkSession)
     sizes = parts.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    from pyspark.sql import Window
-
-    ranked = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long") - 1)
+    # Sorted over all tasks and written; each partition is then numbered from where those before it end.
+    place = F.monotonically_increasing_id()
+    told = sizes.orderBy(F.desc("size"), "component").select("component", F.shiftright(place, 33).alias("p"), place.bitwiseAND((1 << 33) - 1).alias("i")).checkpoint()
+    counts, at = sorted((r["p"], r["n"]) for r in told.groupBy("p").agg(F.count("*").alias("n")).collect()), 0  # a row for each partition
+    starts = []
+    for p, n in counts:
+        starts += [F.lit(p), F.lit(at)]
+        at += n
+    ranked = told.select("component", (F.col("i") + F.element_at(F.create_map(*starts), F.col("p"))).cast("long").alias("cluster")) if starts else told.select("component", F.col("i").alias("cluster"))
     return parts.join(ranked, "component", "left").select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 

@@ -103,7 +103,8 @@ def v1(spark: SparkSession, d: str) -> DataFrame:
 @query("v12_uncertainty_grid")
 def v12(spark: SparkSession, d: str) -> DataFrame:
     at = vectors.project(table(spark, d, "embeddings"))
-    return vectors.uncertainty_grid(at, [[-0.2, 0.0], [0.2, 0.0]], 30)
+    centres, _ = vectors.fuzzy_c_means(at.select(F.array("x", "y").alias("embedding")), 4)
+    return vectors.uncertainty_grid(at, centres.tolist())
 
 
 @query("f34_unit_vectors", "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS norm, 1.0 AS unit FROM embeddings")
@@ -114,13 +115,13 @@ def f34(spark: SparkSession, d: str) -> DataFrame:
 
 def searched(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.col("doc_id").alias("position"), F.col("source").alias("member"), F.col("lang").alias("state"), text.normalize(F.substring("text", 1, 800)).alias("search_text"))
+    return docs.select("doc_id", F.col("doc_id").alias("position"), F.col("source").alias("member"), F.col("lang").alias("state"), text.normalize("text").alias("search_text"), "text")
 
 
 QUERY = "the of"
 
 
-@query("sr1_fuzzy_subset", "SELECT doc_id FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text[1:800]), '\\s+', ' ', 'g')), ' ') AS w FROM documents) WHERE list_contains(w, 'the') AND list_contains(w, 'of')")
+@query("sr1_fuzzy_subset", "SELECT doc_id FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents) WHERE list_contains(w, 'the') AND list_contains(w, 'of')")
 def sr1_subset(spark: SparkSession, d: str) -> DataFrame:
     return searched(spark, d).where(subset_match(F.col("search_text"), QUERY)).select("doc_id")
 
@@ -132,7 +133,9 @@ def sr1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sr2_release_search")
 def sr2(spark: SparkSession, d: str) -> DataFrame:
-    rows = searched(spark, d).withColumns({"party": F.lit("Independent"), "time": F.timestamp_seconds("doc_id")})
+    none = F.lit(None).cast("string")
+    searched_text = search.release_text(F.col("member"), none, F.col("doc_id").cast("string"), none, none, F.col("text"), none)
+    rows = searched(spark, d).withColumns({"party": F.lit("Independent"), "time": F.timestamp_seconds("doc_id"), "search_text": searched_text})
     return search.search_releases(rows, "thnt the ering", party="Third party", state="en").select("doc_id", F.round("score", 6).alias("score"))
 
 

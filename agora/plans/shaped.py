@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.functions import shapes, text
-from agora.operators import counts, order, search, vectors
+from agora.operators import counts, order, search, select, vectors
 from agora.plans.records import issues, query, table
 
 
@@ -73,10 +73,9 @@ def p21(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", "x.symbol", F.round("x.hue", 3).alias("hue"))
 
 
-@query("p19_top_memberships", "SELECT vec_id, CASE WHEN a <= b THEN printf('C0:%.3f, C1:%.3f', b / (a + b), a / (a + b)) ELSE printf('C1:%.3f, C0:%.3f', a / (a + b), b / (a + b)) END AS top FROM (SELECT vec_id, power(embedding[1] - 1.0, 2) AS a, power(embedding[1] + 1.0, 2) AS b FROM embeddings)")
+@query("p19_top_memberships", "SELECT vec_id, CASE WHEN a <= b THEN printf('C0:%.3f, C1:%.3f', b / (a + b), a / (a + b)) ELSE printf('C1:%.3f, C0:%.3f', a / (a + b), b / (a + b)) END AS top FROM (SELECT vec_id, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: power(x - 0.1, 2))) AS a, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: power(x + 0.1, 2))) AS b FROM embeddings)")
 def p19(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 1).alias("embedding"))
-    return vectors.membership_rows(e, [[1.0], [-1.0]]).select("vec_id", vectors.top_memberships(F.col("memberships")).alias("top"))
+    return vectors.membership_rows(table(spark, d, "embeddings"), [[0.1] * 64, [-0.1] * 64]).select("vec_id", vectors.top_memberships(F.col("memberships")).alias("top"))
 
 
 @query("o3_release_order", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
@@ -102,11 +101,10 @@ def w11(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("source", long.alias("t")).groupBy("source").agg(F.coalesce(F.bool_or(text.text_or_empty("t") != ""), F.lit(False)).alias("usable"))
 
 
-@query("w14_uncertain_points", "SELECT vec_id FROM (SELECT vec_id, power(embedding[1] - 1.0, 2) AS a, power(embedding[1] + 1.0, 2) AS b FROM embeddings) WHERE 1 - greatest(a, b) / (a + b) >= 0.45")
+@query("w14_uncertain_points", "SELECT vec_id FROM (SELECT vec_id, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: power(x - 0.1, 2))) AS a, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: power(x + 0.1, 2))) AS b FROM embeddings) WHERE 1 - greatest(a, b) / (a + b) >= 0.45")
 def w14(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 1).alias("embedding"))
-    u = vectors.membership_rows(e, [[1.0], [-1.0]])
-    return u.where(1 - F.array_max("memberships") >= 0.45).select("vec_id")
+    u = vectors.membership_rows(table(spark, d, "embeddings"), [[0.1] * 64, [-0.1] * 64])
+    return select.uncertain(u.withColumn("uncertainty", 1 - F.array_max("memberships")), 0.45).select("vec_id")
 
 
 @query("a14_cluster_sizes", "SELECT label, vec_id % 7 AS member, count(*) AS n FROM embeddings GROUP BY ALL")

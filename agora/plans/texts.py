@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.functions import fuzzy, keys, text
+from agora.functions import fuzzy, keys, shapes, text
 from agora.plans.records import query, table
-from agora.sources import files
 
 
 @query("f1_strip_html", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[\\s\\x0B\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS plain FROM pages")
@@ -86,19 +85,16 @@ def f28(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.preview("text").alias("preview"))
 
 
-@query("p7_embedding_text", "SELECT o_orderkey, concat_ws(chr(10) || chr(10), 'Title: ' || o_orderpriority, CASE WHEN o_orderstatus <> 'O' THEN 'Summary: ' || o_orderstatus END) AS text FROM orders")
+@query("p7_embedding_text", "SELECT o_orderkey, concat_ws(chr(10) || chr(10), 'Title: ' || o_orderpriority, CASE WHEN o_orderstatus <> 'O' THEN 'Summary: ' || o_orderstatus END, 'Topics: a, b', 'Vote: Yea') AS text FROM orders")
 def p7(spark: SparkSession, d: str) -> DataFrame:
-    summary = F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).otherwise("")
-    parts = [F.when(c != "", F.concat(F.lit(f"{n}: "), c)) for n, c in (("Title", F.col("o_orderpriority")), ("Summary", summary), ("Topics", F.lit("")))]
-    return table(spark, d, "orders").select("o_orderkey", F.concat_ws("\n\n", *parts).alias("text"))
+    summary = F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("<p>"), "o_orderstatus", F.lit("</p>")))
+    return table(spark, d, "orders").select("o_orderkey", shapes.bill_text(F.col("o_orderpriority"), summary, F.array(F.lit("a"), F.lit("b")), F.lit("Yea")).alias("text"))
 
 
-@query("p9_embedding_candidates", "SELECT doc_id, CASE WHEN length(text) BETWEEN 1 AND 2000 THEN 'bodyText' ELSE 'title_fallback' END AS text_source, CASE WHEN length(text) BETWEEN 1 AND 2000 THEN length(text) ELSE length(source) END AS n FROM documents")
+@query("p9_embedding_candidates", r"WITH t AS (SELECT doc_id, source, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n FROM documents) SELECT doc_id, CASE WHEN n BETWEEN 1 AND 24000 THEN 'bodyText' ELSE 'title_fallback' END AS text_source, CASE WHEN n BETWEEN 1 AND 24000 THEN n ELSE length(source) END AS n FROM t")
 def p9(spark: SparkSession, d: str) -> DataFrame:
-    body, title = F.col("text"), F.col("source")
-    fits = F.char_length(body).between(1, 2000)
-    chosen = F.when(fits, F.struct(F.lit("bodyText").alias("s"), body.alias("t"))).when(title != "", F.struct(F.lit("title_fallback").alias("s"), title.alias("t")))
-    return table(spark, d, "documents").select("doc_id", chosen.alias("c")).where("c is not null").select("doc_id", F.col("c.s").alias("text_source"), F.char_length("c.t").cast("long").alias("n"))
+    rows = table(spark, d, "documents").select("doc_id", shapes.embedding_candidate(F.col("source"), F.col("text")).alias("c")).where("c is not null")
+    return rows.select("doc_id", F.col("c.textSource").alias("text_source"), F.char_length("c.text").cast("long").alias("n"))
 
 
 @query("p17_topic_labels", "SELECT p_partkey, 'Part ' || upper(p_type[1]) || lower(p_type[2:]) AS label FROM part WHERE NOT contains(p_type, ' ')")
@@ -111,12 +107,6 @@ def p23(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", text.last_name_slug(F.concat("c_mktsegment", F.lit(", x"))).alias("slug"))
 
 
-@query("src12_page_links")
-def src12(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "pages").select("page_id", files.listing("url", "html").alias("l"))
-    return found.select("page_id", F.size("l.links").cast("long").alias("links"), F.col("l.next").alias("next"))
-
-
 @query("json_prop", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_prop(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
