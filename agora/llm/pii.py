@@ -83,13 +83,24 @@ def _entities(data: bytes, spans: list[tuple[int, str, int]]) -> list[bytes]:
     return [kind.encode() + b":" + (data[a:b].lower() if kind in ("email", "ip") else _digits(data[a:b])) for a, kind, b in spans]
 
 
+def _apart(spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """What spans cover, as intervals in order that do not meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for a, _, b in spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def _words(data: bytes, spans: list[tuple[int, str, int]]) -> list[tuple[int, int, bytes]]:
     """(start, end, term) of the words that can be terms: of two bytes or more, and apart from all spans."""
-    out, at, apart = [], 0, sorted((a, b) for a, _, b in spans)
+    out, at, apart = [], 0, _apart(spans)
     for m in TERM.finditer(data):
         while at < len(apart) and apart[at][1] <= m.start():
             at += 1
-        if len(term := _fold(m.group())) > 1 and not any(a < m.end() and m.start() < b for a, b in apart[at:]):
+        if len(term := _fold(m.group())) > 1 and not (at < len(apart) and apart[at][0] < m.end()):
             out.append((m.start(), m.end(), term))
     return out
 
@@ -98,7 +109,8 @@ def _near(data: bytes, spans: list[tuple[int, str, int]]) -> set[tuple[bytes, by
     """Each entity of the text with each term within REACH words of it; terms that meet a span are left out."""
     out: set[tuple[bytes, bytes]] = set()
     words = [(m.start(), m.end()) for m in TERM.finditer(data)]
-    ends = [e for _, e in words]
+    ends, apart = [e for _, e in words], _apart(spans)
+    last = [b for _, b in apart]
     for (a, _, b), entity in zip(spans, _entities(data, spans), strict=True):
         first = bisect_right(ends, a)
         after = first
@@ -106,7 +118,8 @@ def _near(data: bytes, spans: list[tuple[int, str, int]]) -> set[tuple[bytes, by
             after += 1
         for s, e in words[max(0, first - REACH) : first] + words[after : after + REACH]:
             term = _fold(data[s:e])
-            if len(term) > 1 and not any(x < e and s < y for x, _, y in spans):
+            at = bisect_right(last, s)
+            if len(term) > 1 and not (at < len(apart) and apart[at][0] < e):
                 out.add((entity, term))
     return out
 

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from agora.llm.shared import bounded, cut, shared_dir, small
 
 LEAST = 100
-PER_FILE = 6000
+#: Captures in an archive at most, and about how many bytes of payload, as an archive is read whole.
+PER_FILE, FILE_BYTES = 6000, 1 << 27
 DATE = "2024-01-01T00:00:00Z"
 NL = "\r\n"
 
@@ -66,7 +67,9 @@ def write(pages: DataFrame, path: str) -> None:
         ),
         _record(F.lit("metadata"), F.col("metadata"), [target, ("WARC-Concurrent-To", F.col("capture")), ("Content-Type", F.lit("application/warc-fields"))], fields, F.octet_length(fields)),
     )
-    known.select(F.explode(records).alias("value")).write.option("lineSep", NL + NL).option("compression", "gzip").option("maxRecordsPerFile", 3 * PER_FILE).text(path)
+    mean = full.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    per_file = max(1, min(PER_FILE, int(FILE_BYTES / (mean + 1))))
+    known.select(F.explode(records).alias("value")).write.option("lineSep", NL + NL).option("compression", "gzip").option("maxRecordsPerFile", 3 * per_file).text(path)
 
 
 RECORD = "record_id string, type string, uri string, date string, concurrent_to string, refers_to string, digest string, content_type string, http_length long, payload_bytes long, payload_sha256 string, fields string, payload binary"
