@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,7 +13,6 @@ from pyspark.sql import types as T
 CUTOFF = 42
 
 
-@lru_cache(maxsize=50_000)
 def _lcs(a: str, b: str) -> int:
     """Length of a longest common subsequence, by one whole number of bits for each character of b."""
     where: dict[str, int] = {}
