@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import decontaminate, licenses, lines, neardup, pieces, pii, quality, secrets, shards, warc
+from agora.llm import centroids, decontaminate, licenses, lines, neardup, pieces, pii, quality, secrets, shards, warc
 from agora.llm.shared import table
 
 #: The vocabulary for op6; a parameter of the operator.
@@ -58,11 +58,40 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_neardup, op2_secret_scan, op3_decontamination, op4_warc_assembly, op5_pii_sanitisation, op6_sentencepiece, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_kd_shards)}
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 clusters of all usable vectors after 3 rounds; null and malformed vectors are left out, an empty table gives no rows."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_neardup, op2_secret_scan, op3_decontamination, op4_warc_assembly, op5_pii_sanitisation, op6_sentencepiece, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_kd_shards, op12_centroid_clusters)}
 
 _GAP = r"[^\x20\x09-\x0D]+"
 
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """The final centroids and assignments of whole-number k-means, a few tables for each round."""
+    parts = [
+        "v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS (SELECT r, unnest(e) AS x, unnest(range(64)) AS i FROM v)",
+        "s AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS k FROM v QUALIFY k < 16)",
+        "c0 AS (SELECT k, i, x AS c FROM s JOIN x ON x.r = s.r)",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"d{t} AS (SELECT r, k, sum((x - c) * (x - c)) AS d FROM x JOIN c{t} ON c{t}.i = x.i GROUP BY r, k)")
+        parts.append(f"a{t} AS (SELECT r, k, d FROM d{t} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if t < rounds:
+            parts.append(f"m{t} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM a{t} JOIN x ON x.r = a{t}.r GROUP BY k, i)")
+            parts.append(f"c{t + 1} AS (SELECT c.k, c.i, coalesce((m.s - (m.s % m.n + m.n) % m.n) // m.n, c.c) AS c FROM c{t} AS c LEFT JOIN m{t} AS m ON m.k = c.k AND m.i = c.i)")
+    parts.append(f"g AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k)")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+        FROM a{rounds} AS a JOIN v ON v.r = a.r JOIN g ON g.k = a.k"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_centroid_clusters": _kmeans_sql(3),
     "op4_warc_assembly": f"""
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
              f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)

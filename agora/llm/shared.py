@@ -30,10 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and lost executors cost one task each."""
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df to the shared folder, by these options of the writer, and read it back: the lineage ends there, and lost executors
+    cost one task each."""
     path = f"{shared_dir(df.sparkSession)}/agora/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
