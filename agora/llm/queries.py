@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import centroids, decontaminate, licenses, lines, neardup, pieces, pii, quality, secrets, shards, warc
+from agora.llm import centroids, decontaminate, licenses, lines, neardup, pieces, pii, quality, ranked, secrets, shards, simhash, warc
 from agora.llm.shared import table
 
 #: The vocabulary for op6; a parameter of the operator.
@@ -58,14 +58,25 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), 24)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's ten best documents; null texts have no terms, on either side, and empty tables give no rows."""
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 clusters of all usable vectors after 3 rounds; null and malformed vectors are left out, an empty table gives no rows."""
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_neardup, op2_secret_scan, op3_decontamination, op4_warc_assembly, op5_pii_sanitisation, op6_sentencepiece, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_kd_shards, op12_centroid_clusters)}
+def op13_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; null and blank texts have fingerprint zero, repeated rows a row each."""
+    return simhash.cluster(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_neardup, op2_secret_scan, op3_decontamination, op4_warc_assembly, op5_pii_sanitisation, op6_sentencepiece, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_kd_shards, op11_ranked_search, op12_centroid_clusters, op13_simhash_neardup)}
 
 _GAP = r"[^\x20\x09-\x0D]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 
@@ -91,6 +102,17 @@ def _kmeans_sql(rounds: int) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": rf"""
+        WITH t(kind, r, id, text) AS (SELECT 0, row_number() OVER (), doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+             w AS (SELECT kind, r, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS t FROM t),
+             p AS (SELECT r, id, t, count(*) AS tf FROM w WHERE kind = 0 GROUP BY r, id, t),
+             d AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY r),
+             g AS (SELECT count(*) AS c, CAST(sum(n) AS BIGINT) AS l FROM d),
+             f AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(c) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY t),
+             s AS (SELECT q.r AS item, q.id AS item_id, p.r, p.id AS doc_id, CAST(sum(f.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * c) // l)))) AS BIGINT) AS score
+                   FROM w AS q JOIN p ON p.t = q.t JOIN f ON f.t = q.t JOIN d ON d.r = p.r, g WHERE q.kind = 1 GROUP BY q.r, q.id, p.r, p.id),
+             k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM k WHERE rank <= 10""",
     "op12_centroid_clusters": _kmeans_sql(3),
     "op4_warc_assembly": f"""
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
