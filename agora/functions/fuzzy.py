@@ -14,7 +14,8 @@ CUTOFF = 42
 
 
 def _lcs(a: str, b: str) -> int:
-    """Length of a longest common subsequence, by one whole number of bits for each character of b."""
+    """Length of a longest common subsequence, by one whole number with a bit for each character of the shorter text."""
+    a, b = sorted((a, b), key=len)
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -26,30 +27,41 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 for equal texts, less by the insertions and deletions that turn one into the other."""
-    total = len(a) + len(b)
-    return 100.0 if not total else 200.0 * _lcs(a, b) / total
+def set_bounds(shared: float, left: float, right: float) -> tuple[float, float]:
+    """What two word sets score at least and at most, from the lengths of the shared words and of either rest, each joined by
+    spaces; 0 means none. The shared words against either list is exact; the two lists can at best agree in the shorter rest."""
+    if shared and not (left and right):
+        return 100.0, 100.0
+    least = 200.0 * shared / (2 * shared + 1 + min(left, right)) if shared else 0.0
+    ahead = shared + 1 if shared else 0
+    return least, max(least, 200.0 * (ahead + min(left, right)) / (2 * ahead + left + right))
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """Words as sets: 100 if one set holds the other, else the best similarity among the shared and the full word lists."""
+def token_set_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
+    """Words as sets: 100 if one set holds the other, else the best similarity among the shared and the full word lists.
+
+    Exact from cutoff on. Where no score of cutoff can be reached it is the part that lengths tell, without a look at the texts."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
-    both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and (not left or not right):
-        return 100.0
-    first, second = f"{both} {left}".strip(), f"{both} {right}".strip()
-    scores = [indel_ratio(first, second)]
-    if both:
-        scores += [indel_ratio(both, first), indel_ratio(both, second)]
-    return max(scores)
-
-
-@F.pandas_udf(T.DoubleType())
-def token_set_score(text: pd.Series, query: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(a or "", b or "") for a, b in zip(text, query, strict=True)], dtype=float)
+    both = " ".join(x & y)
+    shared = len(both)
+    rest = [max(0, len(" ".join(w)) - shared - bool(shared)) for w in (x, y)]
+    least, most = set_bounds(shared, *rest)
+    if most < cutoff or most <= least:
+        return least
+    ahead = shared + 1 if shared else 0
+    return max(least, 200.0 * (ahead + _lcs(" ".join(sorted(x - y)), " ".join(sorted(y - x)))) / (2 * ahead + sum(rest)))
+
+
+def token_set_score(text: Column, query: Column, cutoff: float = 0.0) -> Column:
+    """token_set_ratio of two columns; null counts as empty."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(x or "", y or "", cutoff) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return score(text, query)
 
 
 @F.pandas_udf(T.StringType())

@@ -57,7 +57,7 @@ def fuzzy_scores(rows: DataFrame, query: str, searched: str) -> DataFrame:
     q = " ".join(query.lower().split())
     if not q:
         return rows.withColumn("score", F.lit(None).cast("double"))
-    return rows.withColumn("score", token_set_score(F.col(searched), F.lit(q))).where(F.col("score") >= CUTOFF)
+    return rows.withColumn("score", token_set_score(F.col(searched), F.lit(q), CUTOFF)).where(F.col("score") >= CUTOFF)
 
 
 def fuzzy_filter(rows: DataFrame, query: str, searched: str, position: str) -> DataFrame:
@@ -104,7 +104,7 @@ def search_bills(bills: DataFrame, order: list[Column], query: str = "", **facet
 def search_stances(rows: DataFrame, query: str, rank: Column, most: int | None = None) -> DataFrame:
     """Issue rows, those that match first, each part by rank; most keeps the best rows only (a preview)."""
     q = " ".join(query.lower().split())
-    score = token_set_score(F.col("search_text"), F.lit(q)) if q else F.lit(0.0)
+    score = token_set_score(F.col("search_text"), F.lit(q), 0.0 if most is None else CUTOFF) if q else F.lit(0.0)
     scored = rows.withColumn("score", score)
     if most is not None:
         return scored.where(F.col("score") >= CUTOFF).orderBy(F.desc("score"), rank).limit(most)

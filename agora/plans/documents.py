@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +10,13 @@ from agora import schemas
 from agora.functions import shapes, text
 from agora.operators import clusters, counts, merge, runs, select
 from agora.operators.fold import event_text
+from agora.operators.folders import scratch
 from agora.plans.records import query, table
 from agora.plans.shaped import members
 from agora.sources import crawl, files, sinks
 from agora.streaming import incremental
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one only where a session on one machine names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="agora-")
-    return f"{base.rstrip('/')}/agora-files/{name}-{uuid.uuid4().hex}"
-
-
 @query("src1_json_documents", 'SELECT CAST(c_custkey AS VARCHAR) AS "bioguideId", c_name AS name, CAST(c_nationkey AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS district FROM customer')
 def src1(spark: SparkSession, d: str) -> DataFrame:
     """Files of up to a hundred members each, an array over several lines, read under an explicit schema."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from agora.functions import text
 from agora.functions.fuzzy import subset_match
-from agora.operators import search, vectors
+from agora.operators import fuzzy_index, search, vectors
+from agora.operators.folders import scratch
 from agora.plans.records import query, table
 
 #: Fixed query vectors come from the row of this id.
@@ -113,8 +114,14 @@ def f34(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), F.round(vectors.dot(u, u), 6).alias("unit"))
 
 
+#: A table of so many rows or fewer may lie in one row group, and so in one task: it is dealt out before Python reads it.
+SPREAD = 1_000_000
+
+
 def searched(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
+    if docs.count() <= SPREAD:
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)
     return docs.select("doc_id", F.col("doc_id").alias("position"), F.col("source").alias("member"), F.col("lang").alias("state"), text.normalize("text").alias("search_text"), "text")
 
 
@@ -131,6 +138,15 @@ def sr1(spark: SparkSession, d: str) -> DataFrame:
     return search.fuzzy_filter(searched(spark, d), "thnt the ering", "search_text", "position").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("sr1_indexed_filter")
+def sr1_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """sr1_fuzzy_filter through the token index."""
+    rows = searched(spark, d)
+    index = fuzzy_index.build(rows, "doc_id", "search_text", scratch(spark, "tokens"))
+    found = fuzzy_index.search(rows, index, "thnt the ering", "search_text")
+    return found.orderBy(F.desc("score"), "position").select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("sr2_release_search")
 def sr2(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
