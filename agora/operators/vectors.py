@@ -1,7 +1,7 @@
 """Vector sets: cosine search, exact neighbours, graphs of neighbours, clusters and projections.
 
-Vectors are arrays of floats, computed in doubles. One query against all rows is a plain expression and a top-k; all rows
-against all rows go in blocks of a checked size, so that no task or broadcast holds more than BLOCK vectors of the other side.
+Vectors are arrays of floats, computed in doubles. One query against all rows is a plain expression and a top-k; neighbours of all
+rows come from agora.operators.neighbours.
 """
 
 from __future__ import annotations
@@ -14,10 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.operators.order import top_per_group
-
-#: Vectors of one side that a task compares at a time.
-BLOCK = 20_000
+from agora.operators.neighbours import check_dimension, matrix, neighbours  # noqa: F401  used by its callers too
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,14 +31,6 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
-def check_dimension(vectors: DataFrame, vector: str) -> int:
-    """The common length of all vectors; more than one raises. An empty table has length 0."""
-    lo, hi = vectors.where(F.col(vector).isNotNull()).agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
-    if lo != hi:
-        raise ValueError(f"vectors of {lo} and of {hi} numbers can't be compared")
-    return lo or 0
-
-
 def top_k(vectors: DataFrame, query: list[float], k: int, id: str, vector: str, least: float | None = 0.0, where: Column | None = None) -> DataFrame:
     """(id, score): the k rows most like the query, those under least left out (0.0 is a filter, None is none), ties by id."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -50,69 +39,6 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id: str, vector: str,
     return (scored if least is None else scored.where(F.col("score") >= least)).orderBy(F.desc("score"), F.asc(id)).limit(max(1, k))
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    return np.array(col.to_pylist(), float).reshape(len(col), -1)
-
-
-def neighbours(vectors: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(src, dst, rank, distance): for each vector its k nearest others by cosine distance, ties by id, itself never among them.
-
-    The rows stand in blocks; a task compares one block of sources with one of destinations by a matrix product and hands on
-    k rows for each source, of which the best k overall stay. Null vectors are left out, and zero vectors are at distance 1.
-    """
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    check_dimension(rows, "v")
-    blocks = max(1, -(-rows.count() // BLOCK))
-    placed = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    if blocks == 1:
-        # One block: destinations are broadcast, at most BLOCK vectors.
-        side = rows.collect()
-        ids = np.array([r["id"] for r in side], np.int64)
-        m = np.array([r["v"] for r in side], float).reshape(len(side), -1)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        found = rows.mapInArrow(_against(ids, m, k), "src long, dst long, distance double")
-    else:
-        # A task has one block of sources and one of destinations; each vector goes to as many tasks as there are blocks.
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        left, right = placed.select("id", "v", "b", every.alias("o")), placed.select(F.col("id").alias("other"), F.col("v").alias("w"), F.col("b").alias("o"), every.alias("b"))
-        found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInArrow(lambda a, c: _cogrouped(a, c, k), "src long, dst long, distance double")
-    return top_per_group(found.withColumn("distance", F.round("distance", 6)), ["src"], [F.col("distance"), F.col("dst")], k).select("src", "dst", "rank", "distance")
-
-
-def _nearest(ids: np.ndarray, v: np.ndarray, other: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    order = np.argsort(other, kind="stable")
-    other, m = other[order], m[order]
-    d = np.round(1.0 - v @ m.T, 6)
-    d[ids[:, None] == other[None, :]] = np.inf
-    n = min(k, d.shape[1])
-    best = np.argsort(d, axis=1, kind="stable")[:, :n]
-    src, dst, dist = np.repeat(ids, n), other[best].ravel(), np.take_along_axis(d, best, 1).ravel()
-    ok = np.isfinite(dist)
-    return src[ok], dst[ok], dist[ok]
-
-
-def _against(other: np.ndarray, m: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = _nearest(part.column("id").to_numpy(), _matrix(part.column("v")), other, m, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["src", "dst", "distance"])
-
-    return run
-
-
-def _cogrouped(a: pa.Table, c: pa.Table, k: int) -> pa.Table:
-    names = ["src", "dst", "distance"]
-    if not a.num_rows or not c.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-    m = _matrix(c.column("w").combine_chunks())
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    parts = list(_against(c.column("other").to_numpy(), m, k)(iter(a.select(["id", "v"]).to_batches())))
-    return pa.Table.from_batches(parts, pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.float64())]))
-
-
 def neighbour_edges(near: DataFrame, mutual: bool, most: float | None = None) -> DataFrame:
     """(a, b), a < b: pairs of which one is the other's neighbour, or each is the other's (mutual); distances over most go."""
     near = near if most is None else near.where(F.col("distance") <= most)
@@ -197,7 +123,7 @@ def _fcm_step(centres: np.ndarray, m: float):
         k, dim = centres.shape
         total, weight, cost, fit, n = np.zeros((k, dim)), np.zeros(k), 0.0, 0.0, 0
         for batch in batches:
-            x = _matrix(batch.column("v"))
+            x = matrix(batch.column("v"))
             if not len(x):
                 continue
             u = memberships(x, centres, m)
@@ -308,7 +234,7 @@ def project(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, s, c = 0, None, None
     for batch in batches:
-        x = _matrix(batch.column("v"))
+        x = matrix(batch.column("v"))
         if len(x):
             s, c, n = (x.sum(0) if s is None else s + x.sum(0)), (x.T @ x if c is None else c + x.T @ x), n + len(x)
     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([b"" if s is None else s.tobytes()], pa.binary()), pa.array([b"" if c is None else c.tobytes()], pa.binary())], names=["n", "s", "c"])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agora.operators import counts, fold, merge, order, search, vectors
+from agora.operators import counts, fold, merge, neighbours, order, search, vectors
 
 
 def test_merge_bills_first_and_last_wins(spark):
@@ -54,7 +54,8 @@ def test_neighbours_in_one_block_and_in_many(spark, monkeypatch):
     m[7] = m[3]
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "vec_id long, embedding array<float>")
     one = sorted(map(tuple, vectors.neighbours(df, 4).collect()))
-    monkeypatch.setattr(vectors, "BLOCK", 25)
+    monkeypatch.setattr(neighbours, "CELL", 25)
+    monkeypatch.setattr(neighbours, "BLOCK", 25)
     assert sorted(map(tuple, vectors.neighbours(df, 4).collect())) == one
     u = m.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
