@@ -1,7 +1,8 @@
 """Words of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow column.
 
-A word is a longest run of bytes other than space, tab, LF, VT, FF and CR. Words are known by 64-bit hashes:
-polynomials over the bytes, taken as differences of one running sum, then mixed.
+A word is a longest run of bytes other than space, tab, LF, VT, FF and CR. Words are known by 64-bit hashes: each 8 bytes
+are mixed with their place by a bijection, and the sum over a word is mixed with its length. Entries of vocabularies, which are short,
+have polynomials over the bytes, taken as differences of one running sum (long texts could be made to collide there).
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 PLAIN = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-FOLDED = PLAIN.copy()
-FOLDED[65:91] = PLAIN[97:123]
+#: A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 WINDOW = 1 << 19
 
@@ -42,10 +44,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept["up"], kept["down"]
 
 
-def sums(buf: np.ndarray, values: np.ndarray = PLAIN) -> np.ndarray:
-    """Running sums by which span_hash() gives the hash of any span of buf."""
+def sums(buf: np.ndarray) -> np.ndarray:
+    """Running sums by which span_hash() gives the hash of any short span of buf."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * powers(len(buf))[0][: len(buf)], out=out[1:])
+    np.cumsum(PLAIN[buf] * powers(len(buf))[0][: len(buf)], out=out[1:])
     return out
 
 
@@ -97,14 +99,14 @@ def windows(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray, values: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offs: np.ndarray, fold: np.ndarray | None = FOLDED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text where its words begin (one more at the end)."""
     hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in windows(buf, offs):
         part = buf[a:b]
         lo, hi = np.searchsorted(offs, [a, b])
         s, e = edges(part, offs[lo : hi + 1][offs[lo : hi + 1] <= b] - a)
-        hashes.append(span_hash(sums(part, values), s, e))
+        hashes.append(spans_hash(part, s, e, fold))
         starts.append(s + a)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offs)
 
@@ -145,18 +147,26 @@ def slices(batch: pa.RecordBatch, name: str = "text", size: int = 1 << 20) -> It
         at = to
 
 
-def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = PLAIN) -> np.ndarray:
-    """Hashes of ascending spans that do not overlap, in windows of bounded memory; spans may be longer than a window."""
-    out = np.zeros(len(starts), np.uint64)
-    for a in range(int(starts[0]) if len(starts) else 0, int(ends[-1]) if len(starts) else 0, WINDOW):
-        b = min(a + WINDOW, len(buf))
-        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b)
-        if lo == hi:
-            continue
-        run, (_, down) = sums(buf[a:b], values), powers(b - a)
-        s, e = np.maximum(starts[lo:hi], a), np.minimum(ends[lo:hi], b)
-        part = (run[np.maximum(e - a, s - a)] - run[s - a]) * down[s - a]
-        if starts[lo] < a:
-            part[:1] *= np.array([pow(BASE, int(a - starts[lo]), 1 << 64)], np.uint64)
-        out[lo:hi] += part
-    return mix(out + (ends - starts).astype(np.uint64))
+#: The first bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of ascending spans that do not overlap, in windows of bounded memory; spans may be longer than a window. fold is a
+    table of bytes by which each is replaced first."""
+    out = (ends - starts).astype(np.uint64) * U(0xD1342543DE82EF95)
+    first = np.concatenate([[0], np.cumsum((ends - starts + 7) // 8)])  # the blocks of 8 bytes of all spans, in a row
+    for a in range(0, int(first[-1]), WINDOW // 8):
+        b = min(a + WINDOW // 8, int(first[-1]))
+        lo, hi = int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b))
+        cut = np.clip(first[lo : hi + 1], a, b)
+        span = np.repeat(np.arange(lo, hi), np.diff(cut))
+        place = np.arange(a, b) - first[span]
+        at = starts[span] + 8 * place
+        part = buf[at[0] : at[-1] + 8]
+        part = np.concatenate([part if fold is None else fold[part], np.zeros(at[-1] + 8 - at[0] - len(part), np.uint8)])
+        eight = np.ndarray(len(part) - 7, "<u8", part, strides=(1,))[at - at[0]] & _FIRST[np.minimum(ends[span] - at, 8)]
+        run = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(mix(eight + (place + 1).astype(np.uint64) * U(BASE)), out=run[1:])
+        out[lo:hi] += run[cut[1:] - a] - run[cut[:-1] - a]
+    return mix(out)
