@@ -1,12 +1,12 @@
 """Folds of ordered documents through a model, one member at a time, with state that must not lose evidence.
 
-Members are independent and run in parallel; within one, order decides. A member's documents are one group, bounded by what
-one person wrote; members over a ceiling are classified before the fold.
+Members are independent and run in parallel; within one, order decides. A member's documents reach one task in their order, a
+batch of rows at a time, and only the state stays; agora.streaming.folds keeps that state between runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,33 +40,57 @@ def apply_step(profile: dict[str, int], body: str, step: Step, tries: int) -> tu
     return profile, "failed"
 
 
+def in_order(docs: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """docs (member, position, body) by member and position, each with its number k from 0 and the total of its member, and what
+    states (member, profile, next_index, total) has of it as profile, at and had. Ties in position go by body."""
+    w = Window.partitionBy("member").orderBy("position", "body")
+    rows = docs.select("member", "position", F.coalesce("body", F.lit("")).alias("body"))
+    if states is not None:
+        rows = rows.join(states.select("member", "profile", F.col("next_index").alias("at"), F.col("total").alias("had")), "member", "left")
+    else:
+        rows = rows.select("*", F.lit(None).cast("map<string,int>").alias("profile"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("had"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select("*", (F.row_number().over(w) - 1).cast("long").alias("k"), F.count("*").over(whole).alias("total"))
+
+
+def resumes(total: int, had: object, at: object) -> bool:
+    """Whether a state can be taken up: the source has as many documents as then, and the next one lies in range."""
+    return pd.notna(had) and int(had) == total and pd.notna(at) and 0 <= int(at) <= total
+
+
+def taken_up(row: object, total: int, topics: list[str]) -> tuple[int, dict[str, int]]:
+    """The next index and the profile with which a member's first row (profile, at, had) starts."""
+    start = dict.fromkeys(topics, 0)
+    if row.profile is not None and resumes(total, row.had, row.at):
+        return int(row.at), start | dict(row.profile)
+    return 0, start
+
+
 def fold(docs: DataFrame, topics: list[str], step: Step = counting_step, batch: int = 1, most: int | None = None, tries: int = 3, states: DataFrame | None = None) -> DataFrame:
     """(member, topic, evidence, next_index, total, failed): docs (member, position, body) folded in order of position.
 
     batch joins that many documents for a step; most takes the first documents only. states (member, profile map<string,int>,
     next_index, total) resumes a member whose total is unchanged and whose next index lies in range; others start over.
     """
-    rows = docs.select("member", "position", F.coalesce("body", F.lit("")).alias("body"))
-    if states is not None:
-        rows = rows.join(states.select("member", "profile", F.col("next_index").alias("at"), F.col("total").alias("had")), "member", "left")
-    else:
-        rows = rows.select("*", F.lit(None).cast("map<string,int>").alias("profile"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("had"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("position")
-        bodies = group["body"].tolist()[:most]
-        start, profile = 0, dict.fromkeys(topics, 0)
-        at, had, kept = group["at"].iloc[0], group["had"].iloc[0], group["profile"].iloc[0]
-        if pd.notna(had) and int(had) == len(bodies) and pd.notna(at) and 0 <= int(at) <= len(bodies) and kept is not None:
-            start, profile = int(at), profile | dict(kept)
-        failed = 0
-        for k in range(start, len(bodies), batch):
-            profile, what = apply_step(profile, "\n".join(b for b in bodies[k : k + batch] if b.strip()), step, tries)
-            failed += what == "failed"
-        return pd.DataFrame({"member": group["member"].iloc[0], "topic": topics, "evidence": [profile[t] for t in topics], "next_index": len(bodies), "total": len(bodies), "failed": failed})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if r.k == 0:
+                    total, failed, held = r.total if most is None else min(r.total, most), 0, []
+                    start, profile = taken_up(r, total, topics)
+                if start <= r.k < total:
+                    held.append(r.body)
+                if held and (len(held) == batch or r.k + 1 >= total):
+                    profile, what = apply_step(profile, "\n".join(b for b in held if b.strip()), step, tries)
+                    failed, held = failed + (what == "failed"), []
+                if r.k + 1 == r.total:
+                    out += [(r.member, t, profile[t], total, total, failed) for t in topics]
+            yield pd.DataFrame(out, columns=["member", "topic", "evidence", "next_index", "total", "failed"])
 
     kind = dict(docs.dtypes)["member"]
-    return rows.groupBy("member").applyInPandas(run, f"member {kind}, topic string, evidence long, next_index long, total long, failed long")
+    return in_order(docs, states).mapInPandas(run, f"member {kind}, topic string, evidence long, next_index long, total long, failed long")
 
 
 def running_evidence(docs: DataFrame, by: str, position: str, counts: Column) -> DataFrame:

@@ -6,47 +6,40 @@ import hashlib
 import json
 import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.operators.fold import Step, apply_step, backoff, classify_candidates, counting_step
+from agora.operators.fold import Step, apply_step, backoff, classify_candidates, counting_step, in_order, resumes, taken_up  # noqa: F401
 
 #: Answers after which a stream is given up for a plain request.
 PLAIN = (400, 404, 405, 415, 422)
 
 
-def resumes(total: int, had: object, at: object) -> bool:
-    """Whether a state can be taken up: the source has as many documents as then, and the next one lies in range."""
-    return pd.notna(had) and int(had) == total and pd.notna(at) and 0 <= int(at) <= total
-
-
 def fold_states(docs: DataFrame, topics: list[str], every: int, step: Step = counting_step, tries: int = 3, states: DataFrame | None = None, stop_after: int | None = None) -> DataFrame:
     """(member, profile, next_index, total, final): the states that a fold of docs (member, position, body) leaves, one after each
     every documents and one at the end. states (member, profile, next_index, total) are taken up where resumes() holds;
     stop_after ends each member's run after that many documents, as an interrupt would."""
-    rows = docs.select("member", "position", F.coalesce("body", F.lit("")).alias("body"))
-    known = (states or rows.sparkSession.createDataFrame([], f"member {dict(docs.dtypes)['member']}, profile map<string,int>, next_index long, total long")).select("member", "profile", F.col("next_index").alias("at"), F.col("total").alias("had"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("position")
-        bodies, first = group["body"].tolist(), group.iloc[0]
-        n, start, profile = len(bodies), 0, dict.fromkeys(topics, 0)
-        if first["profile"] is not None and resumes(n, first["had"], first["at"]):
-            start, profile = int(first["at"]), profile | dict(first["profile"])
-        end = n if stop_after is None else min(n, start + stop_after)
-        out = []
-        for k in range(start, end):
-            profile, _ = apply_step(profile, bodies[k], step, tries)
-            if (k + 1 - start) % every == 0 and k + 1 < end:
-                out.append((first["member"], dict(profile), k + 1, n, False))
-        out.append((first["member"], profile, end, n, end == n))
-        return pd.DataFrame(out, columns=["member", "profile", "next_index", "total", "final"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if r.k == 0:
+                    start, profile = taken_up(r, r.total, topics)
+                    end = r.total if stop_after is None else min(r.total, start + stop_after)
+                if start <= r.k < end:
+                    profile, _ = apply_step(profile, r.body, step, tries)
+                    if (r.k + 1 - start) % every == 0 and r.k + 1 < end:
+                        out.append((r.member, dict(profile), r.k + 1, r.total, False))
+                if r.k + 1 == r.total:
+                    out.append((r.member, dict(profile), end, r.total, end == r.total))
+            yield pd.DataFrame(out, columns=["member", "profile", "next_index", "total", "final"])
 
     kind = dict(docs.dtypes)["member"]
-    return rows.join(known, "member", "left").groupBy("member").applyInPandas(run, f"member {kind}, profile map<string,int>, next_index long, total long, final boolean")
+    return in_order(docs, states).mapInPandas(run, f"member {kind}, profile map<string,int>, next_index long, total long, final boolean")
 
 
 def last_states(states: DataFrame) -> DataFrame:
