@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agora import schemas
@@ -14,7 +14,7 @@ from agora.operators.folders import scratch
 from agora.plans.records import query, table
 from agora.plans.shaped import members
 from agora.sources import crawl, files, sinks
-from agora.streaming import incremental
+from agora.streaming import folds, incremental
 
 
 @query("src1_json_documents", 'SELECT CAST(c_custkey AS VARCHAR) AS "bioguideId", c_name AS name, CAST(c_nationkey AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS district FROM customer')
@@ -379,6 +379,20 @@ def st4(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("member", F.col("profile")["the"].cast("long").alias("evidence"), "next_index", "final")
 
 
+@query("st4_streamed_fold", f"SELECT conv_id AS member, CAST({FOLD} AS BIGINT) AS evidence, count(*) AS next_index, true AS final FROM conversations GROUP BY conv_id")
+def st4_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The fold as keyed state of a stream: one run takes the files of odd places, a second, from the checkpoint, the others."""
+    one = folds.session(spark)
+    w = Window.partitionBy("member").orderBy("position")
+    docs = _turns(one, d).withColumns({"total": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "position": (F.row_number().over(w) - 1).cast("long")})
+    path, out, at = (scratch(one, name) for name in ("turns", "states", "offsets"))
+    shape = "member long, position long, body string, total long"
+    for odd in (1, 0):
+        docs.where(F.col("position") % 2 == odd).write.mode("append").parquet(path)
+        folds.keep(folds.states(incremental.read_files(one, path, shape), ["the"], every=3), out, at).awaitTermination()
+    return runs.last_states(folds.kept(spark, out)).select("member", F.col("profile")["the"].cast("long").alias("evidence"), "next_index", "final")
+
+
 @query("st5_run_status", "SELECT conv_id AS member, count(*) AS releases, CASE WHEN conv_id % 5 = 0 THEN 'completed' WHEN count(*) > 6 THEN 'over_limit' WHEN count(*) > 4 THEN 'failed' ELSE 'done' END AS status FROM conversations GROUP BY conv_id")
 def st5(spark: SparkSession, d: str) -> DataFrame:
     docs = _turns(spark, d)
