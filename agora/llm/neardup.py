@@ -1,6 +1,7 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
-Texts become sets of word shingles. Equal sets are one class, and only its representative goes on. In each of TREES
+Texts become sets of word shingles. Equal sets are one class, known by 64 bits of its digest whatever ids its rows have, and only
+its representative goes on. In each of TREES
 independent trees a representative follows the path of its FIRST minwise tokens. Two sets of similarity s share a node of depth
 d with probability s ** d, so that at s = 0.8 a pair is missed by all trees with probability (1 - 0.8 ** 3) ** 24 = 3e-8. No
 node is branched further, large or not: deeper paths would share their functions with other trees and lose pairs.
@@ -36,9 +37,17 @@ SLACK = 0.745
 _rng = np.random.Generator(np.random.PCG64(7))
 FLIP, TURN = _rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32), _rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: The minwise functions along each tree's path; no two trees share one.
-DEPTH = FIRST
 MEMBER = ["node", "tree", "id", "n", "part", "trees", "sketch"]
-PATHS = np.stack([np.roll(np.arange(SKETCH), -FIRST * t) for t in range(TREES)])[:, :DEPTH]
+PATHS = np.stack([np.roll(np.arange(SKETCH), -FIRST * t) for t in range(TREES)])[:, :FIRST]
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _key(digest: bytes | None) -> int | None:
+    """The class of a set, as a long."""
+    return None if digest is None else int.from_bytes(digest[:8], "little", signed=True)
 
 
 def features(shingle: int):
@@ -54,9 +63,10 @@ def features(shingle: int):
                     for k in range(SKETCH):
                         low[some, k] = np.minimum.reduceat((x ^ FLIP[k]) * TURN[k], at)
                 keys = tree_keys(low)
+                h = [_digest(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array([r.tobytes() for r in low.astype(np.uint8)], pa.binary())],
-                    names=["doc_id", "n", "h", "trees", "sketch"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(h, pa.binary()), pa.array(list(map(_key, h)), pa.int64()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array([r.tobytes() for r in low.astype(np.uint8)], pa.binary())],
+                    names=["doc_id", "n", "h", "id", "trees", "sketch"],
                 )
 
     return run
@@ -66,8 +76,8 @@ def full_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.slices(batch):
-                sets = [s.tobytes() for s in tokens.shingle_sets(part.column("text"), shingle)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["id", "set"])
+                sets = [s for s in tokens.shingle_sets(part.column("text"), shingle) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(_digest(s)) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], names=["id", "set"])
 
     return run
 
@@ -215,10 +225,11 @@ def confirm(threshold: float):
     return run
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """Full sets of the documents in ids (id); texts are read again rather than kept as sets."""
-    some = docs.join(small(ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return some.mapInArrow(full_sets(shingle), "id long, set binary").dropDuplicates(["id"])
+def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """Full sets of the classes in ids (id); texts of their first documents are read again rather than kept as sets."""
+    wanted = small(ids)
+    some = docs.join(small(classes.join(wanted, "id", "left_semi").select("doc_id").distinct()), "doc_id", "left_semi")
+    return some.mapInArrow(full_sets(shingle), "id long, set binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _by_size(rows: DataFrame, threshold: float) -> DataFrame:
@@ -249,20 +260,19 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
 
     Words are lower-cased (A-Z). Null or empty texts and texts of blanks have no shingles and link with nothing. Rows with a
     null doc_id are left out of the search: they come back with a null component and are kept. Repeated rows come back as
-    often as they came; rows that share a doc_id share a component. An empty table gives no rows.
+    often as they came; of rows that share a doc_id with different texts each keeps its own links. An empty table gives no rows.
     """
     bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = cut(docs.mapInArrow(features(shingle), "doc_id long, n long, h binary, trees binary, sketch binary").withColumn("row", F.monotonically_increasing_id()), "features")
+    feats = cut(docs.mapInArrow(features(shingle), "doc_id long, n long, h binary, id long, trees binary, sketch binary").withColumn("row", F.monotonically_increasing_id()), "features")
     # Equal sets: the first row of the least doc_id stands for all. Null ids and empty sets are in no class.
-    classes = cut(feats.where("doc_id is not null and h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("c")).select("h", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), "c"), "classes")
-    known = feats.withColumn("h", F.when(F.col("doc_id").isNotNull(), F.col("h")))
-    members = look_up(known.select("doc_id", "n", "h"), classes.drop("row"), ["h"], "c", "left")
-    members = cut(members.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
+    classes = feats.where("doc_id is not null and h is not null").groupBy("h").agg(F.first("id").alias("id"), F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("c"))
+    classes = cut(classes.select("h", "id", "first.doc_id", "first.row", "c"), "classes")
+    known = feats.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("h")).alias("h"))
+    members = cut(look_up(known, classes.select("h", "id", "c"), ["h"], "c", "left").select("doc_id", "n", "id"), "members")
     only = small(classes.select("row"), classes.count())
-    info = cut(feats.join(only, "row").select(F.col("doc_id").alias("id"), "n", "trees", "sketch"), "representatives")
+    info = cut(feats.join(only, "row").select("id", "n", "trees", "sketch"), "representatives")
     drop(feats)
-    drop(classes)
 
     # The trees: nodes that hold two or more.
     at = cut(_alive(info.select("id", "trees").mapInArrow(nodes, "node long, tree byte, id long")), "nodes")
@@ -273,7 +283,7 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     first = at.select(dealt.alias("node"), "id").join(info.select("id", "n", "sketch"), "id")
     pairs = cut(_sorted(first, "node").mapInArrow(proposals(threshold), "a long, b long").distinct(), "proposals")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(_sets_of(docs, ids, shingle), "sets")
+    sets = cut(_sets_of(docs, classes, ids, shingle), "sets")
     paired = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     links = cut(paired.mapInArrow(confirm(threshold), "a long, b long"), "links")
     drop(sets)
@@ -303,17 +313,20 @@ def cluster(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
         meet = meet.union(k.select("node", "tree", "id", "part"))
     shape = "node long, tree byte, id long, n long, part long, trees binary, sketch binary"
     odd = cut(_sorted(meet.join(info, "id"), "node").mapInArrow(strangers(threshold), shape), "strangers")
-    more = cut(_sets_of(docs, odd.select("id").distinct(), shingle), "sets")
+    more = cut(_sets_of(docs, classes, odd.select("id").distinct(), shingle), "sets")
     extra = cut(_sorted(odd.join(more, "id"), "node").mapInArrow(exhaustive(threshold), "a long, b long"), "links")
     if not extra.isEmpty():  # components that belong together
         joined = components(extra).withColumnsRenamed({"id": "part", "component": "whole"})
         part = part.join(small(joined), "part", "left").select("id", F.coalesce("whole", "part").alias("part"))
-    found = cut(part.dropDuplicates(["id"]).join(members.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("c")), "id"), "found")
-    for table in (more, odd, extra, info, *held):
+    # Each component's least doc_id, for its classes and then for their rows.
+    joined = cut(part.dropDuplicates(["id"]).join(classes.select("id", "doc_id", "c"), "id"), "joined")
+    least = cut(joined.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")), "least")
+    found = cut(look_up(joined, least, ["part"], "k").select("id", "component_id", "c"), "found")
+    for table in (more, odd, extra, info, classes, joined, least, *held):
         drop(table)
     release(docs.sparkSession)
-    out = look_up(members, found.select(F.col("id").alias("rep"), "part", "c"), ["rep"], "c", "left")
-    component = F.coalesce("part", "rep")
+    out = look_up(members, found, ["id"], "c", "left")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

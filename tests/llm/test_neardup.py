@@ -42,7 +42,6 @@ def corpus(seed, groups=25, size=6):
 @pytest.mark.parametrize(("seed", "leaf"), [(1, 400), (2, 3)])
 def test_against_brute_force(spark, monkeypatch, seed, leaf):
     monkeypatch.setattr(neardup, "LEAF", leaf)
-    monkeypatch.setattr(neardup, "DEPTH", 4 if leaf == 3 else 10)
     docs = corpus(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.cluster(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()}
     assert got == brute(docs)
@@ -51,7 +50,6 @@ def test_against_brute_force(spark, monkeypatch, seed, leaf):
 def test_large_mixed_nodes_keep_borderline_pairs(spark, monkeypatch):
     """Pairs at 0.8 among texts that are all just less alike: nodes of many components, far over LEAF."""
     monkeypatch.setattr(neardup, "LEAF", 6)
-    monkeypatch.setattr(neardup, "DEPTH", 10)
     common = [f"c{k}" for k in range(198)]
     docs = []
     for pair in range(120):
@@ -123,3 +121,11 @@ def test_word_hashes_do_not_depend_on_windows(monkeypatch):
     buf, offs = tokens.column(pa.array(texts))
     s, e = tokens.edges(buf, offs)
     assert np.array_equal(tokens.spans_hash(buf, s, e, tokens.FOLDED), whole[0])
+
+
+def test_rows_of_one_id_keep_their_own_links(spark):
+    x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    rows = [(7, x), (7, y), (8, f"{x} q"), (9, f"{y} q"), (10, y)]
+    for n in (1, 3):
+        got = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), shingle=2).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (10, 7, False)]
