@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.operators.neighbours import check_dimension, matrix, neighbours  # noqa: F401  used by its callers too
+from agora.operators.sums import tree_sum
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -118,10 +119,13 @@ def xie_beni(vectors: DataFrame, centres: list[list[float]], m: float = 2.0, id:
     return float("inf") if apart <= 0 or not n else s / n / apart
 
 
-def _fcm_step(centres: np.ndarray, m: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fcm_step(centres: np.ndarray, before: np.ndarray | None, m: float):
+    """Weighted sums and weights for the next centres; cost, the sum of squared memberships, points, and the squared change of
+    memberships since the centres before."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         k, dim = centres.shape
-        total, weight, cost, fit, n = np.zeros((k, dim)), np.zeros(k), 0.0, 0.0, 0
+        total, weight, rest = np.zeros((k, dim)), np.zeros(k), np.zeros(4)
         for batch in batches:
             x = matrix(batch.column("v"))
             if not len(x):
@@ -130,19 +134,19 @@ def _fcm_step(centres: np.ndarray, m: float):
             w = u**m
             total += w.T @ x
             weight += w.sum(0)
-            cost += float((w * ((x[:, None, :] - centres[None]) ** 2).sum(2)).sum())
-            fit += float((u**2).sum())
-            n += len(x)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.array([cost]), pa.array([fit]), pa.array([n], pa.int64())], names=["total", "weight", "cost", "fit", "n"])
+            change = np.inf if before is None else float(((u - memberships(x, before, m)) ** 2).sum())
+            rest += [float((w * ((x[:, None, :] - centres[None]) ** 2).sum(2)).sum()), float((u**2).sum()), len(x), change]
+        return np.concatenate([total.ravel(), weight, rest])
 
-    return run
+    return part
 
 
 def fuzzy_c_means(vectors: DataFrame, k: int, m: float = 2.0, rounds: int = 150, stop: float = 1e-5, seed: int = 0, n_init: int = 1, vector: str = "embedding") -> tuple[np.ndarray, dict[str, float]]:
     """Centres, and their objective, partition coefficient (fpc), its modified form (mpc) and Xie-Beni index.
 
-    A round sends k centres out and one sum of each task back. Seeds are drawn from a sample of at most 1000 points, each far
-    from those before; of n_init starts the one of the lowest objective counts. The order of tasks does not change a result by more than rounding.
+    A round sends k centres out and brings one sum back; it is over when the root of the squared changes of all memberships is
+    under stop. Seeds are drawn from a sample of at most 1000 points, each far from those before; of n_init starts the one of the
+    lowest objective counts. The order of tasks does not change a result by more than rounding.
     """
     if m <= 1:
         raise ValueError("the exponent must exceed 1")
@@ -153,22 +157,16 @@ def fuzzy_c_means(vectors: DataFrame, k: int, m: float = 2.0, rounds: int = 150,
     rng = np.random.default_rng(seed)
     best = None
     for _ in range(max(1, n_init)):
-        centres = few[[rng.integers(len(few))]]
+        centres, before = few[[rng.integers(len(few))]], None
         while len(centres) < k:
             d = ((few[:, None, :] - centres[None]) ** 2).sum(2).min(1)
             centres = np.vstack([centres, few[rng.choice(len(few), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(few))]])
-        cost = fit = float("inf")
-        n = 0
-        for _ in range(rounds):
-            rows = points.mapInArrow(_fcm_step(centres, m), "total binary, weight binary, cost double, fit double, n long").collect()
-            total = sum(np.frombuffer(r["total"]).reshape(centres.shape) for r in rows)
-            weight = sum(np.frombuffer(r["weight"]) for r in rows)
-            cost, fit, n = sum(r["cost"] for r in rows), sum(r["fit"] for r in rows), sum(r["n"] for r in rows)
-            after = total / np.maximum(weight[:, None], 1e-12)
-            moved = float(np.abs(after - centres).max())
-            centres = after
-            if moved < stop:
+        for left in range(rounds, -1, -1):
+            got = tree_sum(points, _fcm_step(centres, before, m))
+            weight, (cost, fit, n, change) = got[-4 - k : -4], got[-4:]
+            if not left or change**0.5 < stop:
                 break
+            centres, before = got[: -4 - k].reshape(centres.shape) / np.maximum(weight[:, None], 1e-12), centres
         if best is None or cost < best[0]:
             best = cost, fit, n, centres
     cost, fit, n, centres = best
@@ -214,16 +212,15 @@ def kmeans_scan(vectors: DataFrame, ks: list[int], seed: int = 0, id: str = "vec
 def project(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, x, y): the two leading principal components of centred vectors. The sign makes the largest loading positive.
 
-    Means and the covariance, numbers of the dimension squared, are sums over tasks; rows are then projected by an expression.
+    Means and the covariance, numbers of the dimension squared, are summed on the executors; rows are then projected by an expression.
     One row is at the origin, no rows give none."""
     points = vectors.where(F.col(vector).isNotNull()).select(id, F.col(vector).cast("array<double>").alias("v"))
     dim = check_dimension(points, "v")
     if not dim:
         return points.select(id, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    sums = points.select("v").mapInArrow(_moments, "n long, s binary, c binary").collect()
-    n = max(1, sum(r["n"] for r in sums))
-    mean = sum(np.frombuffer(r["s"]) for r in sums if r["n"]) / n
-    second = sum(np.frombuffer(r["c"]).reshape(dim, dim) for r in sums if r["n"]) / n
+    sums = tree_sum(points.select("v"), _moments)
+    n, total, second = sums[0], sums[1 : dim + 1], sums[dim + 1 :].reshape(dim, dim)
+    mean, second = total / n, second / n
     _, vec = np.linalg.eigh(second - np.outer(mean, mean))
     axes = vec[:, ::-1][:, : min(2, dim)].T
     axes = [a * np.sign(a[np.abs(a).argmax()]) for a in axes] + [np.zeros(dim)] * (2 - len(axes))
@@ -231,13 +228,31 @@ def project(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -
     return points.select(id, at(axes[0]).alias("x"), at(axes[1]).alias("y"))
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, s, c = 0, None, None
+def _moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+    """The number of points, their sum and that of their products."""
+    total = None
     for batch in batches:
         x = matrix(batch.column("v"))
         if len(x):
-            s, c, n = (x.sum(0) if s is None else s + x.sum(0)), (x.T @ x if c is None else c + x.T @ x), n + len(x)
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([b"" if s is None else s.tobytes()], pa.binary()), pa.array([b"" if c is None else c.tobytes()], pa.binary())], names=["n", "s", "c"])
+            got = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+            total = got if total is None else total + got
+    return total
+
+
+def projected_centres(points: DataFrame, labels: DataFrame, visible: list[int] | None = None, m: float = 2.0, id: str = "vec_id") -> list[list[float]]:
+    """Centres in the plane: means of the points (id, x, y) weighted by labels (id, cluster, memberships) to the power of m.
+
+    visible keeps the points of these clusters; memberships in others count as none, and the rest is scaled to 1."""
+    rows = points.join(labels.select(id, "cluster", "memberships"), id)
+    if visible:
+        rows = rows.where(F.col("cluster").isin(visible))
+        u = F.transform("memberships", lambda x, i: F.when(i.isin(visible), x).otherwise(0.0))
+        total = F.greatest(F.aggregate(u, F.lit(0.0), lambda t, x: t + x), F.lit(1e-12))
+        rows = rows.withColumn("memberships", F.transform(u, lambda x: x / total))
+    k = labels.agg(F.max(F.size("memberships"))).first()[0] or 0
+    w = [F.pow(F.greatest(F.get("memberships", F.lit(j)), F.lit(1e-12)), F.lit(m)) for j in range(k)]
+    sums = rows.agg(F.count("*"), *(F.sum(x) for j in range(k) for x in (w[j], w[j] * F.col("x"), w[j] * F.col("y")))).first()
+    return [[sums[3 * j + 2] / max(sums[3 * j + 1], 1e-12), sums[3 * j + 3] / max(sums[3 * j + 1], 1e-12)] for j in range(k)] if sums[0] else []
 
 
 def uncertainty_grid(points: DataFrame, centres: list[list[float]], steps: int = 180, m: float = 2.0) -> DataFrame:

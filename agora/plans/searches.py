@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import text
 from agora.functions.fuzzy import subset_match
-from agora.operators import fuzzy_index, search, vectors
+from agora.operators import clusters, fuzzy_index, search, vectors
 from agora.operators.folders import scratch
 from agora.plans.records import query, table
 
@@ -103,9 +103,11 @@ def v1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v12_uncertainty_grid")
 def v12(spark: SparkSession, d: str) -> DataFrame:
-    at = vectors.project(table(spark, d, "embeddings"))
-    centres, _ = vectors.fuzzy_c_means(at.select(F.array("x", "y").alias("embedding")), 4)
-    return vectors.uncertainty_grid(at, centres.tolist())
+    """The plane of a fuzzy fit, of whose four clusters the last is hidden."""
+    e, visible = table(spark, d, "embeddings"), [0, 1, 2]
+    at, (labels, _) = vectors.project(e), clusters.fuzzy_labels(e, 4, m=1.3)
+    seen = at.join(labels.where(F.col("cluster").isin(visible)).select("vec_id"), "vec_id")
+    return vectors.uncertainty_grid(seen, vectors.projected_centres(at, labels, visible, 1.3), m=1.3)
 
 
 @query("f34_unit_vectors", "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS norm, 1.0 AS unit FROM embeddings")
