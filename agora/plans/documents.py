@@ -13,7 +13,7 @@ from agora.operators.fold import event_text
 from agora.operators.folders import scratch
 from agora.plans.records import query, table
 from agora.plans.shaped import members
-from agora.sources import crawl, files, sinks
+from agora.sources import crawl, files, rest, sinks
 from agora.streaming import folds, incremental
 
 
@@ -34,6 +34,53 @@ def src4(spark: SparkSession, d: str) -> DataFrame:
     return found.select("c_custkey", "x.member", "x.source")
 
 
+LISTED = "SELECT CASE s_suppkey % 2 WHEN 0 THEN 'mem://even' ELSE 'mem://odd' END AS url, s_suppkey, s_name FROM supplier"
+
+
+def _recorded(spark: SparkSession, d: str) -> tuple[str, str]:
+    """A folder of answers: two lists of suppliers in pages of twenty, each naming the next; and the lists' starts."""
+    s = table(spark, d, "supplier").withColumn("list", F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd"))
+    # Twenty follow each other in a list of every other key.
+    s = s.withColumn("page", F.expr("(s_suppkey - s_suppkey % 2) div 40"))
+    at = lambda page: F.concat(F.lit("mem://"), F.col("list"), F.when(page > 0, F.concat(F.lit("?page="), page.cast("string"))).otherwise(""))
+    found = s.groupBy("list", "page").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("items"))  # twenty at most
+    last = F.col("page") == F.max("page").over(Window.partitionBy("list"))
+    answer = F.to_json(F.struct("items", F.struct(F.when(~last, at(F.col("page") + 1)).alias("next")).alias("pagination")))
+    path = scratch(spark, "answers")
+    found.select(F.sha1(at(F.col("page"))).alias("key"), answer.alias("value")).write.partitionBy("key").text(path)
+    return path, "mem://even mem://odd"
+
+
+def _lists(spark: SparkSession, d: str, reader) -> DataFrame:
+    path, urls = _recorded(spark, d)
+    spark.dataSource.register(rest.RestLists)
+    return reader.format("rest_lists").options(client="agora.sources.rest:folder_client", pages=path, urls=urls).load()
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.select("url", F.from_json("item", "s_suppkey long, s_name string").alias("i")).select("url", "i.*")
+
+
+@query("src5_rest_lists", LISTED)
+def src5(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(_lists(spark, d, spark.read))
+
+
+@query("src5_streamed_lists", LISTED)
+def src5_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The lists as a stream that stops after a page or more of each, and goes on from its checkpoint."""
+    rows, path, at = _lists(spark, d, spark.readStream), scratch(spark, "items"), scratch(spark, "offsets")
+    write = lambda: rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", at).trigger(processingTime="0 seconds").start()
+    q = write()
+    while q.isActive and not (q.lastProgress and q.lastProgress["numInputRows"]):
+        q.awaitTermination(0.1)
+    q.stop()
+    q = write()
+    q.processAllAvailable()
+    q.stop()
+    return _listed(spark.read.schema(rows.schema).parquet(path))
+
+
 @query("src8_master_list", "SELECT s_suppkey AS bill_id, s_name AS number FROM supplier WHERE s_suppkey % 4 <> 3")
 def src8(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")

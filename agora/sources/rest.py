@@ -1,16 +1,20 @@
 """Paginated REST lists as a Spark data source: each start address is a partition, read on executors with retries.
 
-The client is a function from address to JSON, so that tests use recorded pages and nothing here opens a connection by itself.
+The client is a function from address to JSON. Sources take it by import name, "package.module:factory", and call the factory with
+their options: tests answer from recorded pages, and nothing here opens a connection by itself. A list that follows its pages is also
+a stream: its offset is the next address of each list, so that a query that stops goes on at the page it had come to.
 """
 
 from __future__ import annotations
 
+import hashlib
+import importlib
 import json
 import time
 from collections.abc import Callable, Iterator
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 #: Answers after which a request is tried again.
 RETRIED = (429, 500, 502, 503, 504)
@@ -68,13 +72,50 @@ def recorded(path: str) -> Callable[[str], dict]:
     return get
 
 
+def recorded_client(options: dict[str, str]) -> Callable[[str], dict]:
+    return recorded(options["recorded"])
+
+
+def address_key(url: str) -> str:
+    return hashlib.sha1(url.encode()).hexdigest()
+
+
+def folder_client(options: dict[str, str]) -> Callable[[str], dict]:
+    """A client that answers from the folder of option pages, in any file system that Arrow knows: a file under key=address_key(url)
+    for each address, as Spark's partitioned text writer leaves them."""
+    from pyarrow import fs
+
+    place = options["pages"]
+    files, root = fs.FileSystem.from_uri(place) if ":" in place else (fs.LocalFileSystem(), place)
+
+    def get(url: str) -> dict:
+        found = files.get_file_info(fs.FileSelector(f"{root}/key={address_key(url)}", allow_not_found=True))
+        held = sorted(f.path for f in found if f.base_name.startswith("part-"))
+        if not held:
+            raise Failed(404)
+        with files.open_input_stream(held[0]) as f:
+            return json.loads(f.read())
+
+    return get
+
+
+def client(options: dict[str, str]) -> Callable[[str], dict]:
+    """What the factory named by option client makes of the options; without a name answers come from option recorded."""
+    module, _, name = options.get("client", "agora.sources.rest:recorded_client").partition(":")
+    return getattr(importlib.import_module(module), name)(options)
+
+
 class _Start(InputPartition):
     def __init__(self, url: str):
         self.url = url
 
 
 class RestLists(DataSource):
-    """spark.read.format("rest_lists").option("urls", "u1 u2").option("items", "bills").option("recorded", file).load()"""
+    """spark.read or spark.readStream .format("rest_lists").option("urls", "u1 u2").option("items", "bills").option("client", name).load()
+
+    Rows (url, item): the start of a list, and an item in JSON. Reading at once, each list is a partition, walked on an executor. A
+    stream takes a page of each list for a batch; a page seen before ends its list. Run it by processingTime, as rows come with
+    the pages: availableNow would take one."""
 
     @classmethod
     def name(cls) -> str:
@@ -86,6 +127,9 @@ class RestLists(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802  the interface's name
+        return _Pages(self.options)
+
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
@@ -95,6 +139,39 @@ class _Reader(DataSourceReader):
         return [_Start(u) for u in self.options["urls"].split()]
 
     def read(self, partition: _Start):
-        get = recorded(self.options["recorded"])
+        get = client(self.options)
         for item in pages(partition.url, get, self.options.get("items", "items"), sleep=lambda s: None):
             yield partition.url, json.dumps(item, sort_keys=True)
+
+
+class _Pages(SimpleDataSourceStreamReader):
+    """An offset has, for each list, the next address ("" at its end) and the keys of the pages before it."""
+
+    def __init__(self, options):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {u: {"next": u, "seen": []} for u in self.options["urls"].split()}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[str, str]], dict]:
+        get, rows, after = client(self.options), [], {}
+        for url, at in start.items():
+            after[url] = at
+            if at["next"]:
+                answer = request(at["next"], get)
+                rows += [(url, json.dumps(item, sort_keys=True)) for item in answer.get(self.options.get("items", "items")) or []]
+                seen, following = [*at["seen"], address_key(at["next"])], (answer.get("pagination") or {}).get("next") or ""
+                after[url] = {"next": "" if following and address_key(following) in seen else following, "seen": seen}
+        return iter(rows), after
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str, str]]:  # noqa: N802
+        """The pages from start on, read again up to end: what a batch had that must be made once more."""
+        while start != end:
+            rows, after = self.read(start)
+            if after == start:
+                return
+            yield from rows
+            start = after
+
+    def commit(self, end: dict) -> None:
+        pass
