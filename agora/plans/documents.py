@@ -13,7 +13,7 @@ from agora.operators.fold import event_text
 from agora.operators.folders import scratch
 from agora.plans.records import query, table
 from agora.plans.shaped import members
-from agora.sources import crawl, files, rest, sinks
+from agora.sources import crawl, files, rest, sinks, versions
 from agora.streaming import folds, incremental
 
 
@@ -181,6 +181,17 @@ def snk5(spark: SparkSession, d: str) -> DataFrame:
     return sinks.upserted(sinks.upserted(rows(e.where("label < 8"), "old"), fresh), fresh.union(fresh)).select("key", "model")
 
 
+@query("snk5_committed_upsert", "SELECT CAST(vec_id AS VARCHAR) AS key, CASE WHEN label >= 6 THEN 'new' ELSE 'old' END AS model FROM embeddings WHERE label < 8 OR vec_id % 2 = 0")
+def snk5_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same through files that a manifest names: what is stored, an upsert, and that upsert again."""
+    e, path = table(spark, d, "embeddings"), scratch(spark, "collection")
+    rows = lambda df, model: sinks.vector_rows(df, ["vec_id"], "embedding", model, F.struct("label"))
+    fresh = rows(e.where("label in (6, 7) or label >= 8 and vec_id % 2 = 0"), "new")
+    for part in (rows(e.where("label < 8"), "old"), fresh, fresh):
+        sinks.upsert_files(spark, path, part)
+    return versions.read(spark, path, "key string, model string")
+
+
 @query("snk7_collection_stats", "SELECT 'bills' AS collection, count(*) AS points, 64 AS dimension FROM embeddings WHERE label < 5 UNION ALL SELECT 'releases', count(*), 64 FROM embeddings WHERE label >= 5")
 def snk7(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.functions import keys
 from agora.operators.counts import latest
+from agora.sources import versions
 
 
 def vector_rows(rows: DataFrame, by: list[str], vector: str, model: str, payload: Column) -> DataFrame:
@@ -21,10 +25,23 @@ def upserted(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def upsert(spark: SparkSession, table: str, fresh: DataFrame) -> None:
-    """Write the upserted collection beside the old one, then let it take the old one's name: readers see one or the other."""
-    upserted(spark.table(table), fresh).write.mode("overwrite").format("parquet").saveAsTable(f"{table}_next")
-    spark.sql(f"DROP TABLE {table}")
-    spark.sql(f"ALTER TABLE {table}_next RENAME TO {table}")
+    """Write the upserted collection to a folder of its own, then let the table point there: one change of the catalog, so that
+    readers see one or the other, and a crash before it leaves the old one. The old folder stays for readers under way."""
+    place = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"].rstrip("/")
+    path = f"{re.sub('-[0-9a-f]{32}$', '', place)}-{uuid.uuid4().hex}"
+    upserted(spark.table(table), fresh).write.format(spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Provider'").first()["data_type"]).save(path)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+    spark.catalog.refreshTable(table)
+
+
+def upsert_files(spark: SparkSession, path: str, fresh: DataFrame) -> int:
+    """Upsert a collection of files under path (agora.sources.versions) by a committed write; its new version. A table that does
+    not exist begins with fresh; loading twice adds nothing."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields)
+    spark.dataSource.register(versions.Versioned)
+    base = versions.version(path)
+    upserted(versions.read(spark, path, schema, base), fresh).write.format("versioned").mode("overwrite").options(path=path, base=str(base)).save()
+    return base + 1
 
 
 def collection_stats(collections: dict[str, DataFrame], vector: str = "embedding") -> DataFrame:

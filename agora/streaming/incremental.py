@@ -21,11 +21,12 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def append_new(source: DataFrame, path: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
     """Rows whose key is not stored yet, the first of each key in a batch by order, are appended. A batch that is run again after
-    a failure finds its rows stored and adds none."""
+    a failure finds its rows stored and adds none. Rows without a key are one key: the first of them is appended once."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
 
     def run(batch: DataFrame, _: int) -> None:
-        fresh = batch.join(stored(batch.sparkSession, path, schema).select(key), key, "left_anti")
+        known = stored(batch.sparkSession, path, schema).select(F.col(key).alias("_known"))
+        fresh = batch.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
         earliest(fresh, [key], [F.col(order)]).select(*source.columns).write.mode("append").parquet(path)
 
     return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
