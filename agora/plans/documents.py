@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zipfile
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,44 @@ def src1(spark: SparkSession, d: str) -> DataFrame:
     return files.json_documents(spark, path, "bioguideId string, name string, state string, district string").select("bioguideId", "name", "state", "district")
 
 
+def _archived(rows: DataFrame, name: str) -> str:
+    """A folder of archives, one for each value of batch, with an entry for each row (batch, name, value)."""
+    path = scratch(rows.sparkSession, name)
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        files.create_dir(root, recursive=True)
+        with files.open_output_stream(f"{root}/{part['batch'].iloc[0]}.zip") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in part.sort_values("name").itertuples():
+                z.writestr(r.name, r.value)
+        return pd.DataFrame({"n": [len(part)]})
+
+    rows.groupBy("batch").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    return path
+
+
+@query("src2_zipped_json", "SELECT o_orderkey, o_orderpriority FROM orders")
+def src2(spark: SparkSession, d: str) -> DataFrame:
+    """Archives of a thousand orders, each an array in its first .json, after a file of another kind and before another list."""
+    o = table(spark, d, "orders").withColumn("batch", F.expr("o_orderkey div 1000"))
+    listed = o.groupBy("batch").agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("value"))  # a thousand at most
+    kinds = F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("a.txt", F.lit("[]")), ("b.json", F.col("value")), ("c.json", F.lit('[{"o_orderkey": -1}]')))))
+    path = _archived(listed.select("batch", F.explode(kinds).alias("e")).select("batch", "e.name", "e.value"), "orders")
+    return files.zipped_json(spark, path, "o_orderkey long, o_orderpriority string")
+
+
+@query("src3_first_archive", """SELECT CAST(s_suppkey AS VARCHAR) AS member, CASE WHEN s_suppkey % 2 = 0 THEN 0 WHEN s_suppkey % 3 = 0 THEN 1 ELSE -1 END AS archive,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'first ' || s_name WHEN s_suppkey % 3 = 0 THEN 'second ' || s_name END AS value FROM supplier""")
+def src3(spark: SparkSession, d: str) -> DataFrame:
+    """Two archives that overlap: the first that has a member counts, members of neither are left to another source."""
+    s = table(spark, d, "supplier").withColumn("name", F.concat(F.lit("vectors/"), F.col("s_suppkey").cast("string"), F.lit(".json")))
+    held = lambda by, batch: s.where(f"s_suppkey % {by} = 0").select(F.lit(batch).alias("batch"), "name", F.concat(F.lit(f"{batch} "), "s_name").alias("value"))
+    path = _archived(held(2, "first").unionByName(held(3, "second")), "members")
+    return crawl.first_archive(spark, [f"{path}/first.zip", f"{path}/second.zip"], s.select(F.col("s_suppkey").alias("member")))
+
+
 @query("src4_member_files", "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'M' || c_custkey END AS member, CASE c_custkey % 3 WHEN 0 THEN 'voting' WHEN 1 THEN 'public' END AS source FROM customer")
 def src4(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("out/M"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, "_voting_issue_profile.json").when(F.col("c_custkey") % 3 == 1, "_issue_profile.json").otherwise(".txt"))

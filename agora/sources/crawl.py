@@ -5,15 +5,15 @@ A client is a function from an address to text or JSON; tests use recorded answe
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.sources import archives
 from agora.sources.files import _Listing, page_parts
 from agora.sources.rest import request
 
@@ -99,27 +99,18 @@ def bill_details(bills: DataFrame, get: Callable[[str], dict], base: str) -> Dat
     return bills.select("congress", "type", "number").mapInPandas(run, "congress int, type string, number string, bill string, summaries string, subjects string")
 
 
-def first_archive(spark: SparkSession, archives: list[str], wanted: DataFrame, key: str = "member") -> DataFrame:
-    """(key, archive, value): for each wanted member the content of member.json in the first of the archives that has one; -1
-    and null if none has, and another source must do."""
-    found = None
-    for k, path in enumerate(archives):
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for content in frame["content"]:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for name in z.namelist():
-                            if name.endswith(".json"):
-                                yield pd.DataFrame({key: [name.rsplit("/", 1)[-1].removesuffix(".json")], "value": [z.read(name).decode()]})
-
-        one = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"{key} string, value string").withColumn("archive", F.lit(k))
-        found = one if found is None else found.unionByName(one)
+def first_archive(spark: SparkSession, paths: list[str], wanted: DataFrame, key: str = "member", decoded: Accumulator | None = None) -> DataFrame:
+    """(key, archive, value): for each wanted member the content of member.json in the first of the archives that has one, the first
+    such entry; -1 and null if none has, and another source must do. Only these entries are read."""
     keys = wanted.select(F.col(key).cast("string").alias(key)).distinct()
-    if found is None:
+    if not paths:
         return keys.select(key, F.lit(-1).alias("archive"), F.lit(None).cast("string").alias("value"))
-    best = found.groupBy(key).agg(F.min(F.struct("archive", "value")).alias("x"))
-    return keys.join(best, key, "left").select(key, F.coalesce("x.archive", F.lit(-1)).alias("archive"), F.col("x.value").alias("value"))
+    named = spark.createDataFrame(list(enumerate(paths)), "place int, archive string")
+    listed = archives.directory(named.select("archive").distinct()).where(F.endswith("name", F.lit(".json"))).join(named, "archive")
+    listed = listed.withColumn(key, F.regexp_extract("name", r"([^/]*)\.json$", 1))
+    best = listed.join(keys, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*listed.drop(key).columns), F.struct("place", "position")).alias("e"))
+    found = archives.texts(best.select(key, "e.*"), [key, "place"], decoded)
+    return keys.join(found, key, "left").select(key, F.coalesce("place", F.lit(-1)).alias("archive"), "value")
 
 
 def payload_releases(raw: Column) -> Column:

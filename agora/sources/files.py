@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
 import re
-import zipfile
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +18,7 @@ from pyspark.sql import types as T
 from agora import schemas
 from agora.functions import text
 from agora.functions.fuzzy import repair_text
+from agora.sources import archives
 
 
 def json_documents(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -26,19 +26,11 @@ def json_documents(spark: SparkSession, path: str | list[str], schema: str) -> D
     return spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE").withColumn("_file", F.col("_metadata.file_name"))
 
 
-def zipped_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The first .json of each archive; an object is a row, an array a row for each element."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    name = next((n for n in z.namelist() if n.endswith(".json")), None)
-                    data = json.loads(z.read(name)) if name else []
-                yield pd.DataFrame({"value": [json.dumps(x) for x in (data if isinstance(data, list) else [data])]})
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
-    return rows.select(F.from_json("value", T.StructType.fromDDL(schema)).alias("d")).select("d.*")
+def zipped_json(spark: SparkSession, path: str, schema: str, decoded: Accumulator | None = None) -> DataFrame:
+    """The first .json of each archive; an object is a row, an array a row for each element. Archives without one give none."""
+    listed = archives.directory(archives.paths(spark, path)).where(F.endswith("name", F.lit(".json")))
+    first = listed.groupBy("archive").agg(F.min_by(F.struct(*listed.columns), "position").alias("e")).select("e.*")
+    return archives.json_rows(first, decoded).select(F.from_json("value", T.StructType.fromDDL(schema)).alias("d")).select("d.*")
 
 
 def release_corpus(spark: SparkSession, path: str) -> DataFrame:
