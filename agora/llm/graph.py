@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from agora.llm.shared import cut, drop
+from agora.llm.shared import BROADCAST_ROWS, cut, drop, look_up
 
 
-def _lowest(links: DataFrame) -> DataFrame:
-    """(u, m): each vertex with the least of itself and its neighbours. The sum is combined before the shuffle."""
-    return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _lowest(links: DataFrame, edges: int, held: list[DataFrame]) -> DataFrame:
+    """links (u, v) with m, the least of u and its neighbours, which are combined before the shuffle. Of few edges the vertices are
+    broadcast; of many they are written and looked up, vertices with very many links by a broadcast of their own."""
+    low = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    if 2 * edges <= BROADCAST_ROWS:
+        return links.join(F.broadcast(low.drop("n")), "u")
+    held.append(cut(low, "lowest"))
+    return look_up(links, held[-1], ["u"], "n")
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -29,19 +34,19 @@ def _kept(edges: DataFrame) -> tuple[DataFrame, dict]:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, component) for every vertex of edges (a, b) but those that are alone; component is the least id reached.
 
-    Each round is two joins on a vertex; a vertex with very many links is split by adaptive skew joins.
+    Each round looks every link's vertex up twice, and no vertex's links meet in one task.
     An empty edge table gives no rows; loops, repeated edges and edges with a null end count for nothing.
     """
     now, state = _kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct())
     for _ in range(rounds):
         if not state["n"]:
             break
-        links = _both(now)
-        large = links.join(_lowest(links), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = _lowest(large)
-        star = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        links, held = _both(now), []
+        large = _lowest(links, state["n"], held).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        star = _lowest(large, state["n"], held).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after, found = _kept(star)
-        drop(now)
+        for table in (now, *held):
+            drop(table)
         now, state, before = after, found, state
         if state == before:
             break

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from agora.llm import graph, neardup, tokens
+from agora.llm import graph, neardup, shared, tokens
 
 
 def brute(docs, n=2, limit=80):
@@ -90,7 +90,10 @@ def test_sketches_estimate_similarity():
     assert 0.65 < (a == b).mean() < 0.93
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("few", [500_000, 20])
+def test_components_against_brute_force(spark, monkeypatch, few):
+    for module in (graph, shared):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", few)
     rng = random.Random(4)
     e = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)] + [(k, k + 1) for k in range(200, 240)] + [(300, k) for k in range(301, 340)]
     parent = {i: i for p in e for i in p}
