@@ -90,11 +90,44 @@ def facet_values(rows: DataFrame, facets: list[str]) -> DataFrame:
     return rows.select(pairs.alias("p")).select("p.facet", "p.value").where("value is not null and value <> ''").distinct()
 
 
-def embedding_index(vectors: DataFrame, by: str, vector: str) -> DataFrame:
-    """Per key: valid vectors, and their length if all agree, else null."""
+def embedding_index(vectors: DataFrame, by: str, vector: str, file: str | None = None, order: list[Column] | None = None, metadata: list[str] | None = None) -> DataFrame:
+    """Per key: valid vectors, and their length if all agree, else null.
+
+    With file and order also files, an array of (file, valid vectors) by the first place of each file, whether it has valid vectors
+    or not; and of each of metadata the last value by order that is not empty."""
     n = F.size(vector)
-    valid = vectors.where(F.col(vector).isNotNull() & (n > 0))
-    return valid.groupBy(by).agg(F.count("*").alias("total"), F.when(F.min(n) == F.max(n), F.min(n)).cast("long").alias("dimension"))
+    ok = F.col(vector).isNotNull() & (n > 0)
+    total, least, most = F.count_if(ok), F.min(F.when(ok, n)), F.max(F.when(ok, n))
+    known = [total.alias("total"), F.when(least == most, least).cast("long").alias("dimension")]
+    if file is None:
+        return vectors.where(ok).groupBy(by).agg(*known)
+    at = F.struct(*order)
+    last = [F.max_by(c, F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "", at)).alias(c) for c in metadata or []]
+    per = vectors.groupBy(by, file).agg(F.min(at).alias("_at"), total.alias("valid"))  # combined before the list of a key's files
+    listed = per.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(file).alias("file"), "valid"))), lambda x: F.struct(x["file"], x["valid"])).alias("files"))
+    return vectors.groupBy(by).agg(*known, *last).join(listed, by)
+
+
+def voting_profile(votes: DataFrame, by: str, order: list[Column], vote: Column, info: list[str]) -> DataFrame:
+    """Per member: total_votes, votes (an array in order) and of each of info what the member's first vote has."""
+    at = F.struct(*order)
+    listed = F.array_sort(F.collect_list(F.struct(at.alias("at"), vote.alias("v"))))  # what one member has voted
+    return votes.groupBy(by).agg(F.count("*").alias("total_votes"), F.transform(listed, lambda x: x["v"]).alias("votes"), *(F.min_by(c, at).alias(c) for c in info))
+
+
+def sizes(rows: DataFrame, by: list[Column | str]) -> DataFrame:
+    """Rows of each group: clusters, clusters by member and so on."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def versioned(rows: DataFrame, key: str) -> DataFrame:
+    """(versioned, bills): how many keys have several rows, and how many keys there are."""
+    return sizes(rows, [key]).agg(F.count_if(F.col("n") > 1).alias("versioned"), F.count("*").alias("bills"))
+
+
+def profile_means(rows: DataFrame, by: str) -> DataFrame:
+    """(members, votes, mean_votes) over all members."""
+    return sizes(rows, [by]).agg(F.count("*").alias("members"), F.sum("n").alias("votes"), F.avg("n").alias("mean_votes"))
 
 
 def mean_pool(tokens: DataFrame, by: list[str], position: str, value: str, mask: str) -> DataFrame:

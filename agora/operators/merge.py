@@ -21,6 +21,31 @@ def join_first(left: DataFrame, right: DataFrame, key: str, order: list[Column])
     return left.join(earliest(right.where(F.col(key).isNotNull()), [key], order), key)
 
 
+def member_votes(roll_calls: DataFrame, votes: DataFrame, keys: list[str], member: Column, order: list[Column]) -> DataFrame:
+    """Each roll call in which a member voted, with the member's first vote in it by order; null keys match nothing."""
+    return roll_calls.join(earliest(votes.where(member).where(" and ".join(f"`{k}` is not null" for k in keys)), keys, order), keys)
+
+
+def rewritten(documents: DataFrame, votes: DataFrame, key: str, replaced: str = "votes", dropped: str = "bills") -> DataFrame:
+    """Documents with the lists of votes (key, votes) in place of their own, null where there is none, and without bills."""
+    rest = [c for c in documents.columns if c not in (replaced, dropped)]
+    return documents.select(*rest).join(votes.select(key, replaced), key, "left")
+
+
+def difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of left that right has not; a null key of left stays."""
+    return missing(left.select(key).distinct(), right, key)
+
+
+def union_of_sets(rows: DataFrame, by: str, columns: list[str], name: str) -> DataFrame:
+    """Per group the sorted distinct values of several columns, nulls left out."""
+    return rows.groupBy(by).agg(F.array_sort(F.array_union(F.collect_set(columns[0]), F.flatten(F.array(*(F.collect_set(c) for c in columns[1:]))))).alias(name))
+
+
+def pairs(rows: DataFrame, first: str, second: str) -> DataFrame:
+    return rows.select(first, second).distinct()
+
+
 def join_last_nested(left: DataFrame, right: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
     """Left join with the last matching row of right as one struct, null without a match."""
     one = latest(right.where(F.col(key).isNotNull()), [key], order)
@@ -28,10 +53,10 @@ def join_last_nested(left: DataFrame, right: DataFrame, key: str, order: list[Co
     return left.join(one.select(key, F.struct(*rest).alias(name)), key, "left")
 
 
-def with_defaults(left: DataFrame, right: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
-    """Left join with a dimension; columns of defaults are filled where it has no row or a null. Of repeated keys the least row
-    stands."""
-    one = earliest(right.select(key, *defaults), [key], [F.col(c) for c in defaults])
+def with_defaults(left: DataFrame, right: DataFrame, key: str, defaults: dict[str, object], order: list[Column] | None = None) -> DataFrame:
+    """Left join with a dimension; columns of defaults are filled where it has no row or a null. Of repeated keys the first row by
+    order stands, without one the least."""
+    one = earliest(right, [key], order or [F.col(c) for c in defaults]).select(key, *defaults)
     out = left.join(dimension(one), key, "left")
     return out.select(*left.columns, *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()))
 

@@ -101,6 +101,14 @@ def search_bills(bills: DataFrame, order: list[Column], query: str = "", **facet
     return fuzzy_filter(rows, query, "search_text", "position") if query.strip() else rows.orderBy(*order)
 
 
+def search_members(members: DataFrame, query: str = "", party: str = "all", state: str | None = None) -> DataFrame:
+    """Members (party, state, search_text, position) of a party bucket ("all" for any) and a state, then the fuzzy filter over their
+    profiles' text."""
+    rows = members if party == "all" else members.where(text.party_bucket("party") == party)
+    rows = rows if state is None else rows.where(F.col("state") == state)
+    return fuzzy_filter(rows, query, "search_text", "position")
+
+
 def search_stances(rows: DataFrame, query: str, rank: Column, most: int | None = None) -> DataFrame:
     """Issue rows, those that match first, each part by rank; most keeps the best rows only (a preview)."""
     q = " ".join(query.lower().split())

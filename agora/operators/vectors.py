@@ -32,6 +32,18 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
+def stacked(blocks: dict[str, DataFrame], vector: str = "embedding") -> DataFrame:
+    """The vectors of several blocks one below the other, with block; lengths that differ within one or among them raise."""
+    out = None
+    for name, df in blocks.items():
+        one = df.withColumn("block", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no block to stack")
+    check_dimension(out, vector)
+    return out
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int, id: str, vector: str, least: float | None = 0.0, where: Column | None = None) -> DataFrame:
     """(id, score): the k rows most like the query, those under least left out (0.0 is a filter, None is none), ties by id."""
     q = F.array(*(F.lit(float(x)) for x in query))

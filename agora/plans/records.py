@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.functions import keys, text
+from agora.functions import keys, shapes, text
 from agora.operators import counts, fold, merge, order
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,10 +69,10 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
 @query("a5_voting_profile", """SELECT l.l_suppkey AS member, count(*) AS total_votes, string_agg(CAST(l_orderkey AS VARCHAR) || ':' || l_returnflag, ',' ORDER BY l_orderkey, l_linenumber, l_shipdate, l_partkey, l_extendedprice) AS votes,
     arg_min(l_linestatus, (l_orderkey, l_linenumber, l_shipdate, l_partkey, l_extendedprice)) AS first_status FROM lineitem AS l GROUP BY 1""")
 def a5(spark: SparkSession, d: str) -> DataFrame:
-    at = F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice")
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice")]
     vote = F.concat_ws(":", F.col("l_orderkey").cast("string"), "l_returnflag")
-    listed = F.array_sort(F.collect_list(F.struct(at.alias("at"), vote.alias("v"))))
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("member")).agg(F.count("*").alias("total_votes"), F.array_join(F.transform(listed, lambda x: x["v"]), ",").alias("votes"), F.min_by("l_linestatus", at).alias("first_status"))
+    lines = table(spark, d, "lineitem").withColumns({"member": F.col("l_suppkey"), "first_status": F.col("l_linestatus")})
+    return counts.voting_profile(lines, "member", order, vote, ["first_status"]).withColumn("votes", F.array_join("votes", ","))
 
 
 @query("a6_member_mode", "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY n DESC) AS k FROM c) SELECT user_id, min(event_type) AS event_type FROM r WHERE k = 1 GROUP BY 1")
@@ -168,7 +168,7 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a18_profile_means", "SELECT count(*) AS members, CAST(sum(n) AS BIGINT) AS votes, round(avg(n), 6) AS mean_votes FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("members"), F.sum("n").alias("votes"), F.round(F.avg("n"), 6).alias("mean_votes"))
+    return counts.profile_means(table(spark, d, "events"), "user_id").withColumn("mean_votes", F.round("mean_votes", 6))
 
 
 @query("a20_latest_per_group", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -202,6 +202,38 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey").join(lines, "o_orderkey")
 
 
+@query("j3_first_votes", """SELECT o_orderkey, l_linenumber, l_partkey FROM orders JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice) = 1)
+    ON o_orderkey = l_orderkey""")
+def j3_first(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as votes, returned ones as a member's: the first in each order."""
+    lines = table(spark, d, "lineitem").withColumn("o_orderkey", F.col("l_orderkey"))
+    at = [F.col(c) for c in ("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")]
+    return merge.member_votes(table(spark, d, "orders").select("o_orderkey"), lines, ["o_orderkey"], F.col("l_returnflag") == "R", at).select("o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("o6_deep_page", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey LIMIT 25 OFFSET (SELECT (count(*) * 9 // 10) // 25 * 25 FROM lineitem)")
+def o6_deep(spark: SparkSession, d: str) -> DataFrame:
+    """A page nine tenths down."""
+    lines = table(spark, d, "lineitem")
+    by = [F.desc("l_extendedprice"), *(F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"))]
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_suppkey")
+    return order.page(rows, by, lines.count() * 9 // 10 // 25 + 1, 25).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("snk8_rewritten_documents", "SELECT o_orderkey, o_orderstatus, votes FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS votes FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+def snk8(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(-1).alias("votes"), F.lit("x").alias("bills"))
+    return merge.rewritten(docs, counts.sizes(table(spark, d, "lineitem"), ["l_orderkey"]).select(F.col("l_orderkey").alias("o_orderkey"), F.col("n").alias("votes")), "o_orderkey")
+
+
+@query("a9_embedding_files", """WITH f AS (SELECT label, vec_id % 3 AS file, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY ALL)
+    SELECT label, CAST(sum(n) AS BIGINT) AS total, 64 AS dimension, string_agg(file || ':' || n, ',' ORDER BY first_id) AS files, (SELECT 'v' || max(vec_id) FROM embeddings AS e WHERE e.label = f.label AND vec_id % 2 = 0) AS title FROM f GROUP BY label""")
+def a9_files(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").withColumns({"file": F.col("vec_id") % 3, "title": F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("v"), F.col("vec_id").cast("string"))).otherwise(" ")})
+    out = counts.embedding_index(e, "label", "embedding", "file", [F.col("vec_id")], ["title"])
+    return out.withColumn("files", F.array_join(F.transform("files", lambda x: F.concat_ws(":", x["file"].cast("string"), x["valid"].cast("string"))), ","))
+
+
 @query("j4_member_metadata", "SELECT c_custkey, coalesce(s_name, 'Unknown') AS s_name, coalesce(s_acctbal, 0) AS s_acctbal FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
 def j4(spark: SparkSession, d: str) -> DataFrame:
     dim = table(spark, d, "supplier").withColumnRenamed("s_suppkey", "c_custkey")
@@ -270,17 +302,9 @@ def o8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("o9_matched_first", "SELECT doc_id, row_number() OVER (ORDER BY contains(text, 'the') DESC, doc_id) AS position FROM documents")
 def o9(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    matched = F.contains("text", F.lit("the")).cast("int").alias("m")
-    rows = table(spark, d, "documents").select("doc_id", matched)
-    # Positions without one global task: ranks within each part, which is numbered by itself, from the parts' counts.
-    total = F.broadcast(rows.groupBy("m").agg(F.count("*").alias("c")))  # two rows at most
-    before = rows.select("m").distinct().join(total.select(F.col("m").alias("o"), "c"), F.col("o") > F.col("m"), "left").groupBy("m").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("offset"))
-    blocks = rows.withColumn("b", F.expr("doc_id div 1000"))
-    sizes = blocks.groupBy("m", "b").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("m").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("m", "b").orderBy("doc_id"))
-    return blocks.join(sizes.select("m", "b", "start"), ["m", "b"]).join(F.broadcast(before), "m").select("doc_id", (within + F.col("start") + F.col("offset")).alias("position"))
+    matched, rank = F.contains("text", F.lit("the")), F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", matched.alias("matched"))
+    return order.positions(rows, order.matched_order(F.col("matched"), rank)).select("doc_id", "position")
 
 
 @query("set1_union_total", "SELECT kind, id, count(*) OVER () AS total FROM (SELECT 'orders' AS kind, o_orderkey AS id FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'parts', p_partkey FROM part WHERE p_size < 10)")
@@ -294,13 +318,12 @@ def set1(spark: SparkSession, d: str) -> DataFrame:
 @query("set2_difference", "SELECT DISTINCT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'")
 def set2(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.where("event_type = 'view'").select("user_id").distinct().join(e.where("event_type = 'error'").select("user_id"), "user_id", "left_anti")
+    return merge.difference(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id")
 
 
 @query("set3_union_of_sets", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT x)), ',') AS marks FROM (SELECT l_orderkey, unnest([l_returnflag, l_linestatus]) AS x FROM lineitem) GROUP BY 1")
 def set3(spark: SparkSession, d: str) -> DataFrame:
-    both = F.array_union(F.collect_set("l_returnflag"), F.collect_set("l_linestatus"))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(both), ",").alias("marks"))
+    return merge.union_of_sets(table(spark, d, "lineitem"), "l_orderkey", ["l_returnflag", "l_linestatus"], "marks").withColumn("marks", F.array_join("marks", ","))
 
 
 @query("set4_dedup_first", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) = 1")
@@ -311,14 +334,13 @@ def set4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("set5_distinct_pairs", "SELECT DISTINCT lang, source FROM documents")
 def set5(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("lang", "source").distinct()
+    return merge.pairs(table(spark, d, "documents"), "lang", "source")
 
 
 @query("w1_window_lenient", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_orderdate BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
 def w1(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("o_orderstatus") == "P", "0000-00-00").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    day = F.try_to_date(raw)
-    return table(spark, d, "orders").where(F.coalesce(day.between(F.lit("1995-01-01").cast("date"), F.lit("1996-12-31").cast("date")), F.lit(True))).select("o_orderkey")
+    return table(spark, d, "orders").where(shapes.in_window(raw, "1995-01-01", "1996-12-31")).select("o_orderkey")
 
 
 @query("w7_third_party", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import text
 from agora.functions.fuzzy import subset_match
-from agora.operators import clusters, fuzzy_index, search, vectors
+from agora.operators import clusters, counts, fuzzy_index, search, vectors
 from agora.operators.folders import scratch
 from agora.plans.records import query, table
 
@@ -110,6 +110,19 @@ def v12(spark: SparkSession, d: str) -> DataFrame:
     return vectors.uncertainty_grid(seen, vectors.projected_centres(at, labels, visible, 1.3), m=1.3)
 
 
+@query("set6_stacked_vectors", "SELECT CASE WHEN label < 5 THEN 'bills' ELSE 'releases' END AS block, count(*) AS n FROM embeddings GROUP BY 1")
+def set6(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return counts.sizes(vectors.stacked({"bills": e.where("label < 5"), "releases": e.where("label >= 5")}), ["block"])
+
+
+@query("sr4_members", "SELECT doc_id FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE doc_id % 3 = 0 AND lang = 'en') WHERE list_contains(w, 'the')")
+def sr4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as profiles of members, every third a Democrat's; a query of one word scores 100 where a text has it."""
+    rows = searched(spark, d).withColumn("party", F.when(F.col("doc_id") % 3 == 0, "Democratic").otherwise("Republican"))
+    return search.search_members(rows, "the", "Democrat", "en").where("score = 100").select("doc_id")
+
+
 @query("f34_unit_vectors", "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS norm, 1.0 AS unit FROM embeddings")
 def f34(spark: SparkSession, d: str) -> DataFrame:
     u = vectors.unit(F.col("embedding"))

@@ -109,13 +109,12 @@ def w14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a14_cluster_sizes", "SELECT label, vec_id % 7 AS member, count(*) AS n FROM embeddings GROUP BY ALL")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").groupBy("label", (F.col("vec_id") % 7).alias("member")).agg(F.count("*").alias("n"))
+    return counts.sizes(table(spark, d, "embeddings"), ["label", (F.col("vec_id") % 7).alias("member")])
 
 
 @query("a17_versioned_bills", "SELECT count(*) FILTER (n > 1) AS versioned, count(*) AS bills FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
 def a17(spark: SparkSession, d: str) -> DataFrame:
-    per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return per.agg(F.count_if(F.col("n") > 1).alias("versioned"), F.count("*").alias("bills"))
+    return counts.versioned(table(spark, d, "lineitem"), "l_orderkey")
 
 
 @query("a24_mean_pool", "SELECT label, p, round(sum(v) FILTER (vec_id % 3 <> 0) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9), 5) AS mean FROM (SELECT label, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(64)) AS p FROM embeddings) GROUP BY ALL")
