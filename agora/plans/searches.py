@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import text
 from agora.functions.fuzzy import subset_match
-from agora.operators import clusters, counts, fuzzy_index, search, vectors
+from agora.operators import clusters, counts, fuzzy_index, models, search, vectors
 from agora.operators.folders import scratch
 from agora.plans.records import query, table
 
@@ -183,6 +183,17 @@ def sr8(spark: SparkSession, d: str) -> DataFrame:
     return search.semantic(rows, first, e, 10, "doc_id")
 
 
+@query("u1_text_embeddings")
+def u1(spark: SparkSession, d: str) -> DataFrame:
+    """All documents through the batched path; its first way can't be made, the second is a stand-in."""
+    out = models.embed_batches(table(spark, d, "documents").select("doc_id", "text"), "text", [_absent, models.stand_in], "waves-32")
+    return out.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"), "model")
+
+
+def _absent():
+    raise RuntimeError("no accelerator here")
+
+
 @query("d20_contradictions", """WITH s AS (SELECT o_custkey AS member, o_orderpriority AS topic, o_orderkey AS statement_id, CASE WHEN o_orderstatus = 'O' THEN 'supports' ELSE 'opposes' END AS stance FROM orders),
     v AS (SELECT o_custkey AS member, o_orderpriority AS topic, o_orderkey AS bill_id, CASE WHEN o_totalprice > 200000 THEN 'supports' ELSE 'opposes' END AS direction FROM orders)
     SELECT statement_id, bill_id, 'weak' AS severity FROM s JOIN v USING (member, topic) WHERE stance <> direction""")

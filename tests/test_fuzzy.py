@@ -81,3 +81,48 @@ def test_index_reads_only_its_words(spark, short, tmp_path):
     few = fuzzy_index.candidates(index, "zzz qqq").count()
     assert few < short.count() / 2
     assert fuzzy_index.candidates(index, "the").where(F.col("least") == 100).count() > 0
+
+
+def whole(text):
+    return " ".join((text or "").lower().split())
+
+
+def test_release_search_rows(spark, data):
+    """sr2's rows and scores: English documents of any third party, the first 800 letters of their bodies among the searched."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("lang = 'en'").collect()
+    scored = {r.doc_id: plain_score(whole(f"{r.source} {r.doc_id} {(r.text or '')[:800]}"), QUERY) for r in docs}
+    want = [(i, round(s, 6)) for i, s in sorted(scored.items(), reverse=True) if s >= fuzzy.CUTOFF]
+    assert [tuple(r) for r in records.QUERIES["sr2_release_search"](spark, data).collect()] == want and want
+
+
+def test_bill_search_rows(spark, data, duck):
+    from agora.plans import shaped  # noqa: F401
+
+    texts = duck.execute(records.SQL["p12_bill_search_text"]).fetchall()
+    score = {t: plain_score(t, "a f r") for _, t in texts}
+    want = sorted((-round(score[t], 6), i) for i, t in texts if score[t] >= fuzzy.CUTOFF)
+    assert [(-r.score, r.l_orderkey) for r in records.QUERIES["sr3_bill_search"](spark, data).collect()] == want and want
+
+
+def test_text_neighbours_rows(spark, data):
+    import numpy as np
+
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    asked = min((r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect())[1]
+    v = search.HashingEmbedder(64)([t for _, t in docs] + [asked]).astype(np.float32).astype(float)
+    n = np.linalg.norm(v, axis=1)
+    best = sorted((-round(float(v[k] @ v[-1] / (n[k] * n[-1])), 6), i) for k, (i, _) in enumerate(docs) if n[k])[:10]
+    got = [(r.doc_id, r.score) for r in records.QUERIES["sr8_text_neighbours"](spark, data).collect()]
+    assert [i for i, _ in got] == [i for _, i in best] and [s for _, s in got] == pytest.approx([-s for s, _ in best], abs=2e-6)
+
+
+def test_unescaped_pages(spark, data):
+    import hashlib
+    import html
+    import re
+
+    from agora.plans import texts  # noqa: F401
+
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    want = {i: hashlib.sha1(html.unescape(re.sub("<[^>]+>", " ", t)).encode()).hexdigest() for i, t in pages.items()}
+    assert {r.page_id: r.plain_sha1 for r in records.QUERIES["f10_unescape"](spark, data).collect()} == want
