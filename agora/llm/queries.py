@@ -16,45 +16,55 @@ MODEL = os.environ.get("AGORA_PIECES", "file:/opt/tokenizers/piece_bpe_32k.model
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes, components and kept rows of all documents; null and blank texts are linked with nothing, a null doc_id has no component."""
     return neardup.cluster(table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, repeated rows and null ids each a row; null and empty texts hold none."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item; null and empty texts, on either side, and empty tables give no rows."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, read back from archives; null html is an empty payload, an empty table gives no rows."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, repeated rows and null ids each a row; null and empty texts hold none."""
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents as digests, and whether decoding gives the text again; null and empty texts have no tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(pieces.encode(docs, MODEL), MODEL)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without repeated windows of three lines, as digests; null and empty texts have one empty line."""
     out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses in all documents; null and empty texts hold none, rows that share a doc_id are one document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents, a row each; null and empty texts have no words and fail."""
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards; null and empty texts have 8 bytes, an empty table gives no rows."""
     return shards.assign(table(spark, sf_dir, "documents"), 24)
 
 
