@@ -28,9 +28,9 @@ class Failed(Exception):
 
 
 def with_parameter(url: str, name: str, value: object) -> str:
-    """url with one query parameter set or replaced."""
+    """url with one query parameter added, or replaced where it stands; of a name that is there twice the last value stays."""
     p = urlsplit(url)
-    query = [(k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if k != name] + [(name, str(value))]
+    query = dict(parse_qsl(p.query, keep_blank_values=True)) | {name: str(value)}
     return urlunsplit(p._replace(query=urlencode(query)))
 
 

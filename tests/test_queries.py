@@ -1,6 +1,6 @@
 import pytest
 
-from agora.plans import documents, records, searches, shaped, texts  # noqa: F401
+from agora.plans import clients, documents, records, searches, shaped, texts  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(records.SQL))
