@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.llm import tokens
-from agora.llm.shared import bounded, cut, fresh
+from agora.llm.shared import bounded, cut, fresh, tidied
 
 CHUNK, SPREAD = 1 << 14, 1 << 20
 #: Distinct segments, and pairs of pieces, that a task remembers.
@@ -666,12 +666,12 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, spread: int = S
     docs = docs.drop("ids", "n_chunks")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>, n_chunks long"
     long = F.coalesce(F.octet_length("text") >= spread, F.lit(False))
-    short = docs.where(~long).mapInArrow(_encode_short(blob, chunk), shape)
+    short = docs.where(~long).mapInArrow(tidied(_encode_short(blob, chunk)), shape)
     row = fresh(docs, "_row")
     giants = cut(docs.where(long).withColumn(row, F.monotonically_increasing_id()), "giants")
-    chunks = cut(giants.select(F.col(row).alias("_row"), "text").mapInArrow(_split(blob, chunk), "_row long, k int, text string, a int, b int").repartition(F.col("_row"), F.col("k")), "chunks")
-    ends = chunks.mapInArrow(_transfers(blob), "_row long, k int, t binary").groupBy("_row").applyInArrow(_states, "_row long, k int, ends array<int>")
-    traced = chunks.join(ends, ["_row", "k"]).select("_row", "k", "text", "a", "b", "ends").mapInArrow(_traces(blob), "_row long, k int, ids array<int>")
+    chunks = cut(giants.select(F.col(row).alias("_row"), "text").mapInArrow(tidied(_split(blob, chunk)), "_row long, k int, text string, a int, b int").repartition(F.col("_row"), F.col("k")), "chunks")
+    ends = chunks.mapInArrow(tidied(_transfers(blob)), "_row long, k int, t binary").groupBy("_row").applyInArrow(_states, "_row long, k int, ends array<int>")
+    traced = chunks.join(ends, ["_row", "k"]).select("_row", "k", "text", "a", "b", "ends").mapInArrow(tidied(_traces(blob)), "_row long, k int, ids array<int>")
     whole = traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"), F.count("*").alias("n_chunks"))
     found = giants.join(whole.withColumnRenamed("_row", row), row)
     return short.union(found.select(*docs.columns, "ids", "n_chunks"))
@@ -692,7 +692,7 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
                 text = pc.if_else(valid, m.decoded(ids, begins), pa.scalar(None, pa.large_string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())], names=[*part.schema.names, "text"])
 
-    return rows.mapInArrow(run, shape)
+    return rows.mapInArrow(tidied(run), shape)
 
 
 def _runs(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -718,4 +718,4 @@ def digests(rows: DataFrame, model_path: str) -> DataFrame:
                 exact = pc.equal(m.decoded(ids, at), text)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.utf8_length(text).cast(pa.int64()), pa.array(np.diff(at), pa.int64()), part.column("n_chunks"), pa.array(sha, pa.string()), exact], names=["doc_id", "n_chars", "n_tokens", "n_chunks", "ids_sha256", "exact"])
 
-    return rows.select("doc_id", "text", "ids", "n_chunks").mapInArrow(run, "doc_id long, n_chars long, n_tokens long, n_chunks long, ids_sha256 string, exact boolean")
+    return rows.select("doc_id", "text", "ids", "n_chunks").mapInArrow(tidied(run), "doc_id long, n_chars long, n_tokens long, n_chunks long, ids_sha256 string, exact boolean")

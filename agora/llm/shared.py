@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,19 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which the worker hands memory that it no longer uses back to the system: workers outlive their
+    tasks, and those of earlier stages stay beside those of the next."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return done
+
+
 def look_up(rows: DataFrame, found: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
     """rows joined with found, which has one row for each key of on and, in count, how many of rows have that key.
 

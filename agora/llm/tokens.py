@@ -36,7 +36,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64, kept by the process: a global here would go with each function."""
     kept = vars(sys).setdefault("_agora_powers", {})
     if len(kept.get("up", ())) < n + 1:
-        size = max(n + 1, 2 * WINDOW)
+        size = max(n + 1, 2 * len(kept.get("up", ())), WINDOW // 4)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             a = np.full(size, base, np.uint64)
             a[0] = 1
