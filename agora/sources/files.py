@@ -108,47 +108,6 @@ class _Listing(HTMLParser):
             self.next = href
 
 
-class _Detail(HTMLParser):
-    """Title, date and body by the classes of the tags that hold them; the body ends where its div closes. A date may stand in
-    any date div, as some pages have others first; release_details() takes the first alone."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.title: list[str] = []
-        self.dates: list[str] = []
-        self.body: list[str] = []
-        self._in: str | None = None
-        self._depth = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        classes = (dict(attrs).get("class") or "").split()
-        if self._in == "body":
-            self._depth += tag == "div"
-        elif tag == "h1":
-            self._in = "title"
-        elif tag == "div" and "evo-press-release__body" in classes:
-            self._in, self._depth = "body", 1
-        elif tag == "div" and "col-auto" in classes:
-            self._in = "date"
-            self.dates.append("")
-
-    def handle_endtag(self, tag: str) -> None:
-        if self._in == "body":
-            self._depth -= tag == "div"
-            if not self._depth:
-                self._in = None
-        elif (self._in, tag) in (("title", "h1"), ("date", "div")):
-            self._in = None
-
-    def handle_data(self, data: str) -> None:
-        if self._in == "title":
-            self.title.append(data)
-        elif self._in == "date":
-            self.dates[-1] += data
-        elif self._in == "body" and data.strip():
-            self.body.append(data.strip())
-
-
 class _Page(HTMLParser):
     """Where a release's parts lie in its page: data of h1, data of the first date div with any, and the body div's inside."""
 
@@ -238,19 +197,6 @@ def listing(url: pd.Series, html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["links", "next"])
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "date", "bodyText")]))
-def detail(html: pd.Series) -> pd.DataFrame:
-    import re
-
-    out = []
-    for h in html:
-        p = _Detail()
-        p.feed(h or "")
-        date = next((d.strip() for d in p.dates if re.fullmatch(r"[A-Za-z]+\s+\d{1,2},\s+\d{4}", d.strip())), None)
-        out.append(("".join(p.title).strip() or None, date, " ".join(p.body) or None))
-    return pd.DataFrame(out, columns=["title", "date", "bodyText"])
-
-
 def write_by_key(df: DataFrame, path: str, key: str, order: str | None = None) -> None:
     """A folder for each key; the commit protocol makes the write atomic. Rows of a key are sorted if an order is given."""
     rows = df.repartition(F.col(key))

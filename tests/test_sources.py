@@ -38,8 +38,9 @@ def test_html_pages(spark):
     df = spark.createDataFrame([("https://h.gov/list", page), (None, None)], "u string, h string")
     got = [r[0] for r in df.select(files.listing("u", "h")).collect()]
     assert got[0]["links"] == ["https://h.gov/media/press-releases/one"] and got[0]["next"] == "https://h.gov/list?page=2" and got[1]["links"] == []
-    d = spark.createDataFrame([(body,), ("",)], "h string").select(files.detail("h")).collect()
-    assert tuple(d[0][0]) == ("Title", "February 5, 2026", "First second & third") and tuple(d[1][0]) == (None, None, None)
+    later = body.replace("<div class=\"col-auto\">Share</div>", "<div class=\"col-auto\"></div>")
+    d = [r[0] for r in spark.createDataFrame([(body,), (later,), ("",)], "h string").select(files.release_details(F.lit("u"), F.col("h"))).collect()]
+    assert [(r.title, r.date, r.bodyText) for r in d] == [("Title", None, "First second & third"), ("Title", "February 5, 2026", "First second & third"), (None, None, None)]
 
 
 def test_member_list_and_priorities(spark, tmp_path):
