@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +45,23 @@ def fuzzy_labels(points: DataFrame, k: int | None = None, score: str = "xie_beni
 
 def kmeans_labels(points: DataFrame, k: int | None = None, score: str = "silhouette", seed: int = 0, id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, dict[str, object]]:
     """((id, cluster), {k, inertia}); without k the best by score, of 2 to the lesser of 30 and the root of the points plus 8."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     rows = points.where(F.col(vector).isNotNull())
     n = rows.count()
-    if k is None:
-        k = best_of(vectors.kmeans_scan(rows, list(range(2, min(30, max(3, int(n**0.5) + 8), max(2, n - 1)) + 1)), seed, id, vector), score) or 2
-    data = rows.select(id, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=min(k, max(2, n - 1)), seed=seed, maxIter=300).fit(data)
-    return model.transform(data).select(id, F.col("prediction").alias("cluster")), {"k": k, "inertia": model.summary.trainingCost}
+    ks = [min(k, max(2, n - 1))] if k else list(range(2, min(30, max(3, int(n**0.5) + 8), max(2, n - 1)) + 1))
+    fits = vectors.kmeans_fits(rows, ks, seed, vector=vector)
+    if not fits:
+        return rows.select(id, F.lit(0).alias("cluster")), {"k": k or 2, "inertia": 0.0}
+    best = k and ks[0] or best_of(fits, score) or 2
+    fit = fits[ks.index(best)]
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = vectors.matrix(batch.column("v"))
+            near = next(vectors._nearest(x, [fit["centres"]]))[0] if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(near.astype(np.int32))], names=[id, "cluster"])
+
+    labels = rows.select(id, F.col(vector).cast("array<double>").alias("v")).mapInArrow(assigned, f"`{id}` {dict(rows.dtypes)[id]}, cluster int")
+    return labels, {"k": best, "inertia": fit["inertia"]}
 
 
 def distance_limit(near: DataFrame, how: str | float | None = None, percent: float = 90.0) -> float | None:

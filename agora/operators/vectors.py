@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.operators.folders import scratch, written
 from agora.operators.neighbours import check_dimension, matrix, neighbours  # noqa: F401  used by its callers too
 from agora.operators.sums import tree_sum
 
@@ -195,32 +196,186 @@ def fcm_scan(vectors: DataFrame, most: int | None = None, **how) -> list[dict[st
     return [{"k": k, **fuzzy_c_means(vectors, k, **how)[1]} for k in range(2, min(most, n - 1) + 1)]
 
 
-def kmeans_scan(vectors: DataFrame, ks: list[int], seed: int = 0, id: str = "vec_id", vector: str = "embedding") -> list[dict[str, float]]:
-    """Silhouette (cosine), Calinski-Harabasz and Davies-Bouldin for each number of clusters, from sums per cluster."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors with the hash that draws them, a row for each batch, so that a round reads a few long rows."""
+    for batch in batches:
+        x = matrix(batch.column("v"))
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([batch.column("h").to_numpy().astype(np.int64).tobytes()], pa.binary())], names=["x", "h"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(vectors, hashes), 4,096 at most at a time."""
+    for batch in batches:
+        for x, h in zip(batch.column("x"), batch.column("h"), strict=True):
+            rows, drawn = np.frombuffer(x.as_buffer()).reshape(-1, dim), np.frombuffer(h.as_buffer(), np.int64)
+            for a in range(0, len(rows), 4096):
+                yield rows[a : a + 4096], drawn[a : a + 4096]
+
+
+def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of each vector to each centre."""
+    return np.maximum((x**2).sum(1)[:, None] - 2.0 * x @ centres.T + (centres**2).sum(1)[None], 0.0)
+
+
+def _nearest(x: np.ndarray, fits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(nearest centre, its squared distance) of each vector, for each fit; one product for all fits."""
+    d = _apart(x, np.concatenate(fits))
+    for at, c in zip(np.cumsum([0, *map(len, fits)]), fits, strict=False):
+        near = d[:, at : at + len(c)].argmin(1)
+        yield near, d[np.arange(len(x)), at + near]
+
+
+def _members(near: np.ndarray, k: int) -> np.ndarray:
+    return (near[None] == np.arange(k)[:, None]).astype(float)
+
+
+def _kmeans_step(fits: list[np.ndarray], dim: int):
+    """For each fit the sums and the numbers of its clusters' vectors."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = [np.zeros((len(c), dim + 1)) for c in fits]
+        for x, _ in _blocks(batches, dim):
+            one = np.hstack([x, np.ones((len(x), 1))])
+            for t, c, (near, _) in zip(total, fits, _nearest(x, fits), strict=True):
+                t += _members(near, len(c)) @ one
+        return np.concatenate([t.ravel() for t in total])
+
+    return part
+
 
-    data = vectors.where(F.col(vector).isNotNull()).select(id, F.col(vector).cast("array<double>").alias("v"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
-    n = data.count()
-    mean = np.array([r["x"] for r in data.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("x")).orderBy("p").collect()])
+def _seeds(blocks: DataFrame, dim: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(candidates, weights) of k-means||: rounds that draw each vector by its squared distance to those drawn, 2 * most in the mean;
+    a candidate weighs the vectors nearest to it, of all. What is drawn hangs on the vector's hash, not on its task."""
+    first = blocks.mapInArrow(_drawn(None, 0.0, dim, seed, 0), "x binary, u double").orderBy("u", "x").first()
+    found = np.frombuffer(first["x"])[None]
+    for step in range(1, 12):
+        cost = float(tree_sum(blocks, lambda batches, c=found: np.array([sum(float(_apart(x, c).min(1).sum()) for x, _ in _blocks(batches, dim))]))[0])
+        if cost <= 1e-12 or step > 2 and len(found) >= most:
+            break
+        rows = blocks.mapInArrow(_drawn(found, 2.0 * most / cost, dim, seed, step), "x binary, u double").select("x").distinct().collect()  # 2 * most in the mean
+        if rows:
+            found = np.unique(np.vstack([found, *(np.frombuffer(r["x"])[None] for r in rows)]), axis=0)
+    return found, tree_sum(blocks, _kmeans_step([found], dim)).reshape(len(found), dim + 1)[:, dim]
+
+
+def _drawn(centres: np.ndarray | None, factor: float, dim: int, seed: int, step: int):
+    """Vectors whose number, from 0 to 1 by hash, is under factor times their squared distance; without centres a task's least number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = None
+        for x, h in _blocks(batches, dim):
+            z = h.astype(np.uint64) + np.uint64((seed * 16 + step + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            for by, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                z = (z ^ (z >> np.uint64(by))) * np.uint64(m)
+            u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+            if centres is None:
+                i = int(u.argmin())
+                least = min(least or (2.0, b""), (float(u[i]), x[i].tobytes()))
+                continue
+            d = _apart(x, centres).min(1)
+            some = np.flatnonzero((d > 1e-12) & (u < factor * d))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i].tobytes() for i in some], pa.binary()), pa.array(u[some], pa.float64())], names=["x", "u"])
+        if least:
+            yield pa.RecordBatch.from_arrays([pa.array([least[1]], pa.binary()), pa.array([least[0]], pa.float64())], names=["x", "u"])
+
+    return run
+
+
+def _start(found: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the candidates (all, if fewer) by weighted k-means++, then moved by rounds over the weighted candidates."""
+    if len(found) <= k:
+        return found
+    rng = np.random.default_rng(seed)
+    centres = found[[rng.choice(len(found), p=weight / weight.sum())]]
+    while len(centres) < k:
+        d = _apart(found, centres).min(1) * np.maximum(weight, 1e-9)
+        centres = np.vstack([centres, found[rng.choice(len(found), p=d / d.sum()) if d.sum() > 0 else len(centres)]])
+    for _ in range(30):
+        one = _members(_apart(found, centres).argmin(1), k) * weight
+        held = one.sum(1)
+        centres = np.where(held[:, None] > 0, one @ found / np.maximum(held, 1e-12)[:, None], centres)
+    return centres
+
+
+def _scored(fits: list[np.ndarray], dim: int, units: list[np.ndarray] | None = None, sizes: list[np.ndarray] | None = None):
+    """For each fit and cluster the number of vectors, their squared distances and distances, and the sum of unit vectors; with the
+    latter as units and sizes, the sum of silhouettes by cosine for each fit."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = [np.zeros((len(c), dim + 3)) for c in fits] if units is None else np.zeros(len(fits))
+        for x, _ in _blocks(batches, dim):
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            unit = x / np.where(norm > 0, norm, 1.0)
+            for j, (c, (near, d2)) in enumerate(zip(fits, _nearest(x, fits), strict=True)):
+                if units is None:
+                    total[j] += _members(near, len(c)) @ np.hstack([np.ones((len(x), 1)), d2[:, None], np.sqrt(d2)[:, None], unit])
+                    continue
+                n, at = sizes[j], np.arange(len(x))
+                far = np.where(n > 0, 1.0 - unit @ units[j].T / np.maximum(n, 1), np.inf)
+                own = far[at, near] * n[near] / np.maximum(n[near] - 1, 1)
+                far[at, near] = np.inf
+                other = far.min(1)
+                more = np.maximum(own, other)
+                total[j] += float(np.where((n[near] > 1) & (more > 0) & np.isfinite(other), (other - own) / np.where(more > 0, more, 1.0), 0.0).sum())
+        return np.concatenate([t.ravel() for t in total]) if units is None else total
+
+    return part
+
+
+def kmeans_fits(vectors: DataFrame, ks: list[int], seed: int = 0, rounds: int = 300, stop: float = 1e-4, vector: str = "embedding") -> list[dict[str, object]]:
+    """For each number of clusters its k, centres, inertia, silhouette (cosine), Calinski-Harabasz and Davies-Bouldin.
+
+    All fits go on together: a round is one pass over the vectors for those that still move, until no centre of a fit moves by more
+    than stop. Starts are drawn from all vectors by k-means||, and hang on neither the order of vectors nor their partitions.
+    Empty clusters keep their centre, fewer distinct vectors than k give fewer clusters, and zero vectors are at cosine distance 1.
+    The driver gets sums of clusters; vectors stay on the executors."""
+    points = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    dim = check_dimension(points, "v")
+    if not dim:
+        return []
+    path = scratch(vectors.sparkSession, "kmeans")
+    rows = points.select("v", F.xxhash64(F.to_json("v")).alias("h")).repartition(vectors.sparkSession.sparkContext.defaultParallelism)
+    blocks = written(rows.mapInArrow(_packed, "x binary, h binary"), path).cache()
+    found, weight = _seeds(blocks, dim, max(ks), seed)
+    fits = [_start(found, weight, k, seed) for k in ks]
+    moving = list(range(len(ks)))
+    for _ in range(rounds):
+        got, at, still = tree_sum(blocks, _kmeans_step([fits[j] for j in moving], dim)), 0, []
+        for j in moving:
+            size = len(fits[j]) * (dim + 1)
+            sums, at = got[at : at + size].reshape(-1, dim + 1), at + size
+            after = np.where(sums[:, dim:] > 0, sums[:, :dim] / np.maximum(sums[:, dim:], 1.0), fits[j])
+            if ((after - fits[j]) ** 2).sum(1).max() > stop * stop:
+                still.append(j)
+            fits[j] = after
+        moving = still
+        if not moving:
+            break
+    got, at, stats = tree_sum(blocks, _scored(fits, dim)), 0, []
+    for c in fits:
+        stats.append(got[at : at + len(c) * (dim + 3)].reshape(len(c), dim + 3))
+        at += len(c) * (dim + 3)
+    silhouettes = tree_sum(blocks, _scored(fits, dim, [s[:, 3:] for s in stats], [s[:, 0] for s in stats]))
+    n, mean = weight.sum(), None
+    blocks.unpersist()
     out = []
-    for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=300).fit(data)
-        named = model.transform(data)
-        centres = np.array(model.clusterCenters())
-        lit = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centres))
-        near = named.select("prediction", F.aggregate(F.zip_with("v", F.get(lit, F.col("prediction")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x).alias("d2"))
-        rows = {r["prediction"]: r for r in near.groupBy("prediction").agg(F.count("*").alias("n"), F.sum("d2").alias("w"), F.avg(F.sqrt("d2")).alias("s")).collect()}
-        within, between = sum(r["w"] for r in rows.values()), sum(r["n"] * float(((centres[j] - mean) ** 2).sum()) for j, r in rows.items())
-        ch = between / (k - 1) / (within / (n - k)) if within > 0 and n > k else float("nan")
-        db = float(np.mean([max((rows[i]["s"] + rows[j]["s"]) / max(float(np.linalg.norm(centres[i] - centres[j])), 1e-12) for j in rows if j != i) for i in rows])) if len(rows) > 1 else float("nan")
-        sil = ClusteringEvaluator(distanceMeasure="cosine", featuresCol="features").evaluate(named) if len(rows) > 1 else float("nan")
-        out.append({"k": k, "silhouette": sil, "calinski_harabasz": ch, "davies_bouldin": db})
-    data.unpersist()
+    for k, centres, s, sil in zip(ks, fits, stats, silhouettes, strict=True):
+        size, within, held = s[:, 0], float(s[:, 1].sum()), np.flatnonzero(s[:, 0])
+        mean = size @ centres / n if mean is None else mean
+        between, spread = float(size @ ((centres - mean) ** 2).sum(1)), s[:, 2] / np.maximum(size, 1)
+        several = len(held) > 1
+        db = float(np.mean([max((spread[i] + spread[j]) / max(float(np.linalg.norm(centres[i] - centres[j])), 1e-12) for j in held if j != i) for i in held])) if several else float("nan")
+        ch = between / (k - 1) / (within / (n - k)) if within > 0 and n > k > 1 else float("nan")
+        out.append({"k": k, "centres": centres, "inertia": within, "silhouette": float(sil / n) if several else float("nan"), "calinski_harabasz": ch, "davies_bouldin": db})
     return out
 
 
+def kmeans_scan(vectors: DataFrame, ks: list[int], seed: int = 0, vector: str = "embedding") -> list[dict[str, float]]:
+    """Silhouette (cosine), Calinski-Harabasz and Davies-Bouldin for each number of clusters."""
+    return [{c: r[c] for c in ("k", "silhouette", "calinski_harabasz", "davies_bouldin")} for r in kmeans_fits(vectors, ks, seed, vector=vector)]
+
+
 def project(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, x, y): the two leading principal components of centred vectors. The sign makes the largest loading positive.
 

@@ -98,3 +98,37 @@ def test_labels_of_kmeans_and_graphs(spark, data, points):
     g = {r.id: r.cluster for r in clusters.graph_labels(e, 5, least=3).collect()}
     n = {r.id: r.cluster for r in records.QUERIES["v10_knn_components"](spark, data).collect()}
     assert g == n and e.where(F.col("vec_id").isNull()).count() == 0
+
+
+def test_fits_of_kmeans_go_on_together(spark, data, points):
+    """A round is one pass for all numbers of clusters; starts come from all vectors, however they are dealt out."""
+    _, x = points
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    sc = spark.sparkContext
+    sc.setJobGroup("fits", "kmeans")
+    fits = vectors.kmeans_fits(e, list(range(2, 9)))
+    assert len(sc.statusTracker().getJobIdsForGroup("fits")) < 700
+    sc._jsc.clearJobGroup()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = 1 - unit @ unit.T
+    for f, again in zip(fits, vectors.kmeans_fits(e.repartition(9), list(range(2, 9))), strict=True):
+        d = ((x[:, None] - f["centres"][None]) ** 2).sum(2)
+        near = d.argmin(1)
+        assert np.allclose([x[near == j].mean(0) for j in range(f["k"])], f["centres"], atol=1e-3)
+        assert f["inertia"] == pytest.approx(d.min(1).sum()) and again["inertia"] == pytest.approx(f["inertia"], rel=1e-6)
+        mean = np.array([far[:, near == j].sum(1) / max((near == j).sum(), 1) for j in range(f["k"])]).T
+        size = np.bincount(near, minlength=f["k"])[near]
+        own = mean[np.arange(len(x)), near] * size / np.maximum(size - 1, 1)
+        mean[np.arange(len(x)), near] = np.inf
+        want = np.where(size > 1, (mean.min(1) - own) / np.maximum(mean.min(1), own), 0.0).mean()
+        assert f["silhouette"] == pytest.approx(want, abs=1e-6)
+
+
+def test_kmeans_of_few_and_equal_vectors(spark):
+    shape = "vec_id long, embedding array<double>"
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], shape)
+    assert [len(f["centres"]) for f in vectors.kmeans_fits(same, [2, 3])] == [1, 1]
+    assert {r.cluster for r in clusters.kmeans_labels(same)[0].collect()} == {0}
+    assert vectors.kmeans_scan(spark.createDataFrame([], shape), [2]) == []
+    two = vectors.kmeans_fits(spark.createDataFrame([(1, [0.0, 0.0]), (2, [4.0, 0.0]), (3, [4.0, 1.0])], shape), [2])[0]
+    assert sorted(two["centres"].tolist()) == [[0.0, 0.0], [4.0, 0.5]] and two["inertia"] == pytest.approx(0.5)
