@@ -2,8 +2,11 @@
 
 Unit vectors at cosine distance d are sqrt(2d) apart, which is a metric. Vectors fall into cells around pivots; a cell knows the least
 and the greatest distance of its vectors from the pivot. In a first round each vector is compared with its own cell, which bounds the
-distance of its k-th neighbour. In the second it goes only to the cells that the triangle inequality does not rule out by that bound.
-Cells of over BLOCK vectors are dealt out in parts, and the visitors of a part in chunks, so that a task holds at most BLOCK of either.
+distance of its k-th neighbour. In the second it is compared only with the cells that the triangle inequality does not rule out by that
+bound, which shrinks as nearer ones are found. Cells of over BLOCK vectors are dealt out in parts. Parts lie on shelves, and a vector
+is sent once to each shelf with an open cell, not to each cell; the visitors of a shelf come in chunks, so that a task holds about SHELF
+of either. Shelves are SHELVES up to SHELVES * SHELF vectors: what is shuffled then grows with the vectors, beyond it with their
+product with the number of shelves.
 Equal vectors are compared once; each hands on its k + 1 least ids.
 """
 
@@ -22,6 +25,8 @@ from agora.operators.order import top_per_group
 
 #: Vectors of a cell on average; pivots at most, which the driver and every task hold; vectors of one side in a task.
 CELL, PIVOTS, BLOCK = 2048, 1024, 8192
+#: Vectors of a shelf, and shelves at least, where there are so many parts of cells.
+SHELF, SHELVES = 65_536, 6
 #: Distances are rounded to 6 digits, and ties go by id: a cell is ruled out only beyond this.
 SLACK = 2e-6
 #: Rows of at most 64 bytes that a join may broadcast.
@@ -91,8 +96,15 @@ def _best(u: np.ndarray, ids: np.ndarray, v: np.ndarray, dst: np.ndarray, k: int
     return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
 
 
-def _first(k: int, dim: int, pivots: np.ndarray | None, low: np.ndarray, high: np.ndarray, units: np.ndarray, seen: Accumulator | None):
-    """Neighbours in the own part of the own cell, and the other parts where nearer ones can be."""
+def _open(u: np.ndarray, cell: int, own: np.ndarray, most: np.ndarray, pivots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of the vectors can have one of this cell within most: by the cell's ring around its pivot, and as each vector of it is
+    nearer to that pivot than to the visitor's own, at distance own."""
+    far = _apart(u, pivots[[cell]])[:, 0]
+    return np.maximum(np.maximum(far - high[cell], low[cell] - far), (far - own) / 2) <= np.sqrt(2 * (most + SLACK)) + 1e-7
+
+
+def _first(k: int, dim: int, pivots: np.ndarray | None, low: np.ndarray, high: np.ndarray, units: np.ndarray, shelf: np.ndarray, seen: Accumulator | None):
+    """Neighbours in the own part of the own cell, and the shelves where nearer ones can be."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, u = t.column("rep").to_numpy(), _packed(t.column("u").combine_chunks(), dim)
@@ -102,32 +114,47 @@ def _first(k: int, dim: int, pivots: np.ndarray | None, low: np.ndarray, high: n
         at = np.searchsorted(row, np.arange(len(ids) + 1))
         full = np.diff(at) == k
         bound = np.where(full, d[np.maximum(at[1:] - 1, 0)] if len(d) else 0.0, np.inf)
-        visits = [[] for _ in ids]
+        visits = np.zeros((len(ids), shelf.max(initial=0) + 1), bool)
         if units[-1] > 1:
-            own, far = t.column("cell")[0].as_py(), _apart(u, pivots)
-            reach = np.sqrt(2 * (bound + SLACK))[:, None]
-            # By the cell's ring around its pivot, and as each of its vectors is nearer to that pivot than to this cell's own.
-            least = np.maximum(np.maximum(far - high[None], low[None] - far), (far - far[:, [own]]) / 2)
-            open_ = (least <= reach + 1e-7) & (units[1:] > units[:-1])[None]
-            here = int(t.column("unit")[0].as_py())
-            visits = [[x for c in np.flatnonzero(o) for x in range(units[c], units[c + 1]) if x != here] for o in open_]
+            own, here = t.column("r").to_numpy(), int(t.column("unit")[0].as_py())
+            for c in range(len(units) - 1):
+                on = {int(shelf[x]) for x in range(units[c], units[c + 1]) if x != here}
+                if on:
+                    visits[np.ix_(_open(u, c, own, bound, pivots, low, high), sorted(on))] = True
         near = [[{"dst": int(i), "distance": float(x)} for i, x in zip(dst[a:b], d[a:b], strict=True)] for a, b in zip(at[:-1], at[1:], strict=True)]
         kind = pa.list_(pa.struct([("dst", pa.int64()), ("distance", pa.float64())]))
-        return pa.table({"src": ids, "u": t.column("u"), "most": bound, "near": pa.array(near, kind), "visits": pa.array(visits, pa.list_(pa.int32()))})
+        return pa.table({"src": ids, "u": t.column("u"), "cell": t.column("cell"), "r": t.column("r"), "unit": t.column("unit"), "most": bound, "near": pa.array(near, kind), "visits": pa.array([np.flatnonzero(v).tolist() for v in visits], pa.list_(pa.int32()))})
 
     return run
 
 
-def _second(k: int, dim: int, seen: Accumulator | None):
+def _second(k: int, dim: int, pivots: np.ndarray | None, low: np.ndarray, high: np.ndarray, seen: Accumulator | None):
+    """The k nearest on a shelf for each of its visitors, within their bounds; a visitor's own part was compared before."""
+
     def run(t: pa.Table) -> pa.Table:
-        ids, visitor = t.column("src").to_numpy(), t.column("visitor").to_numpy()
-        u, most = _packed(t.column("u").combine_chunks(), dim), t.column("most").to_numpy()
-        if seen is not None:
-            seen.add(int(visitor.sum()) * int((~visitor).sum()))
-        if not visitor.any() or visitor.all():
-            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        row, dst, d = _best(u[visitor], ids[visitor], u[~visitor], ids[~visitor], k, most[visitor])
-        return pa.table({"src": ids[visitor][row], "dst": dst, "distance": d})
+        visitor = t.column("visitor").to_numpy()
+        ids, unit, cell = (t.column(c).to_numpy() for c in ("src", "unit", "cell"))
+        u, most, own = _packed(t.column("u").combine_chunks(), dim), t.column("most").to_numpy()[visitor], t.column("r").to_numpy()[visitor]
+        src, here, guests = ids[visitor], unit[visitor], u[visitor]
+        best, far = np.full((len(src), k), np.iinfo(np.int64).max), np.full((len(src), k), np.inf)
+        most = most.copy()
+        for x in np.unique(unit[~visitor]):
+            held = np.flatnonzero(~visitor & (unit == x))
+            some = np.flatnonzero(_open(guests, int(cell[held[0]]), own, most, pivots, low, high) & (here != x))
+            if not len(some):
+                continue
+            if seen is not None:
+                seen.add(len(some) * len(held))
+            row, dst, d = _best(guests[some], src[some], u[held], ids[held], k, most[some])
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row]
+            more, at = np.full((len(some), k), np.iinfo(np.int64).max), np.full((len(some), k), np.inf)
+            more[row, place], at[row, place] = dst, d
+            more, at = np.hstack([best[some], more]), np.hstack([far[some], at])
+            order = np.lexsort((more, at), axis=1)[:, :k]
+            best[some], far[some] = np.take_along_axis(more, order, 1), np.take_along_axis(at, order, 1)
+            most[some] = np.minimum(most[some], far[some][:, -1])
+        row, col = np.nonzero(np.isfinite(far))
+        return pa.table({"src": src[row], "dst": best[row, col], "distance": far[row, col]})
 
     return run
 
@@ -160,24 +187,34 @@ def _near(reps: DataFrame, n: int, k: int, dim: int, path: str, seen: Accumulato
         pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-12)
     placed = written(reps.select("rep", "v").mapInArrow(_placed(pivots), "rep long, u binary, cell int, r double"), f"{path}/cells")
     cells = 1 if pivots is None else len(pivots)
-    low, high, parts = np.full(cells, np.inf), np.full(cells, -np.inf), np.zeros(cells, np.int64)
+    low, high, parts, counts = np.full(cells, np.inf), np.full(cells, -np.inf), np.zeros(cells, np.int64), np.zeros(cells, np.int64)
     for r in placed.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).collect():  # a row for each pivot
-        low[r["cell"]], high[r["cell"]], parts[r["cell"]] = r["low"], r["high"], -(-r["n"] // BLOCK)
+        low[r["cell"]], high[r["cell"]], parts[r["cell"]], counts[r["cell"]] = r["low"], r["high"], -(-r["n"] // BLOCK), r["n"]
     units = np.concatenate([[0], np.cumsum(parts)])
+    # Shelves of about equal numbers of vectors, each of parts that follow each other.
+    held = np.repeat(counts / np.maximum(parts, 1), parts)
+    shelves = min(int(units[-1]), max(SHELVES, -(-n // SHELF)))
+    shelf = ((np.cumsum(held) - held / 2) * shelves / max(n, 1)).astype(int)
     at, many = F.array(*(F.lit(int(x)) for x in units)), F.array(*(F.lit(int(max(1, x))) for x in parts))
     placed = placed.withColumn("unit", (F.get(at, F.col("cell")) + F.pmod(F.xxhash64("rep"), F.get(many, F.col("cell")))).cast("int"))
-    first = placed.groupBy("unit").applyInArrow(_first(k, dim, pivots, low, high, units, seen), "src long, u binary, most double, near array<struct<dst:long,distance:double>>, visits array<int>")
+    first = placed.groupBy("unit").applyInArrow(_first(k, dim, pivots, low, high, units, shelf, seen), "src long, u binary, cell int, r double, unit int, most double, near array<struct<dst:long,distance:double>>, visits array<int>")
     if units[-1] > 1:
         first = written(first, f"{path}/first")
     found = first.select("src", F.explode("near").alias("x")).select("src", "x.dst", "x.distance")
     if units[-1] > 1:
-        visits = first.select("src", "u", "most", F.explode("visits").alias("unit"))
-        # A row for each part that has visitors, of which there are n / BLOCK + PIVOTS at most.
-        chunks = visits.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-        chunks = F.broadcast(chunks) if int(units[-1]) <= BROADCAST_ROWS else chunks
-        visitors = visits.join(chunks, "unit").select("unit", F.pmod(F.xxhash64("src"), F.col("chunks")).cast("int").alias("chunk"), "src", "u", "most", F.lit(True).alias("visitor"))
-        held = placed.join(chunks, "unit").select("unit", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("rep").alias("src"), "u", F.lit(0.0).alias("most"), F.lit(False).alias("visitor"))
-        found = found.unionByName(visitors.unionByName(held).groupBy("unit", "chunk").applyInArrow(_second(k, dim, seen), _FOUND))
+        # Chunks of visitors as large as a shelf, for each shelf that has any.
+        told = first.select(F.explode("visits").alias("shelf")).groupBy("shelf").agg(F.count("*").alias("n")).collect()  # a row for each shelf
+        chunks = {r["shelf"]: -(-r["n"] * shelves // n) for r in told}
+        if chunks:
+            each = F.create_map(*(F.lit(x) for s in sorted(chunks.items()) for x in s))
+            row = ("src", "u", "unit", "cell", "r", "most")
+            visitors = first.select(F.explode("visits").alias("shelf"), *row, F.lit(True).alias("visitor"))
+            visitors = visitors.withColumn("chunk", F.pmod(F.xxhash64("src"), F.element_at(each, F.col("shelf"))).cast("int"))
+            on = F.get(F.array(*(F.lit(int(x)) for x in shelf)), F.col("unit"))
+            host = first.select(on.alias("shelf"), *row, F.lit(False).alias("visitor")).where(F.col("shelf").isin(sorted(chunks)))
+            host = host.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(each, F.col("shelf")) - 1)))
+            pairs = visitors.unionByName(host).repartition(sum(chunks.values()), "shelf", "chunk")
+            found = found.unionByName(pairs.groupBy("shelf", "chunk").applyInArrow(_second(k, dim, pivots, low, high, seen), _FOUND))
     return top_per_group(found.withColumn("distance", F.round("distance", 6)), ["src"], [F.col("distance"), F.col("dst")], k)
 
 

@@ -73,3 +73,28 @@ def test_left_out_rows_and_few_rows(spark):
         assert found(neighbours.neighbours(spark.createDataFrame(few, SCHEMA), 4)) == []
     with pytest.raises(ValueError, match="can't be compared"):
         neighbours.neighbours(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], SCHEMA), 1)
+
+
+@pytest.mark.parametrize(("shelves", "shelf"), [(6, 10_000), (2, 10_000), (1, 90)])
+def test_a_vector_is_sent_once_to_a_shelf(spark, cells, monkeypatch, shelves, shelf):
+    """Vectors without clusters, to which most of 60 cells are open."""
+    cells(10, 10_000)
+    monkeypatch.setattr(neighbours, "SHELVES", shelves, raising=False)
+    monkeypatch.setattr(neighbours, "SHELF", shelf, raising=False)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 12)]) for i in range(600)]
+    sent, plain = spark.sparkContext.accumulator(0), neighbours._second
+
+    def counted(*args):
+        run = plain(*args)
+
+        def told(t):
+            sent.add(t.num_rows)
+            return run(t)
+
+        return told
+
+    monkeypatch.setattr(neighbours, "_second", counted)
+    assert found(neighbours.neighbours(spark.createDataFrame(rows, SCHEMA).repartition(4), 5)) == brute(rows, 5)
+    most = max(shelves, -(-600 // shelf))
+    assert 600 < sent.value <= 600 * most * 2
