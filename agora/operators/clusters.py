@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.operators import counts, vectors
+from agora.operators.folders import scratch, written
 
 #: Scores by which a number of clusters is chosen, and whether the most or the least is best.
 BEST = {"xie_beni": min, "mpc": max, "fpc": max, "silhouette": max, "calinski_harabasz": max, "davies_bouldin": min}
@@ -75,6 +76,8 @@ def distance_limit(near: DataFrame, how: str | float | None = None, percent: flo
 def graph_labels(points: DataFrame, k: int = 5, how: str | float | None = None, percent: float = 90.0, mutual: bool = True, least: int = 2, id: str = "vec_id") -> DataFrame:
     """(id, cluster) of the graph of neighbours under a limit of distance; components under least members are -1."""
     near = vectors.neighbours(points, k, id)
+    if how == "percentile":  # read twice
+        near = written(near, scratch(points.sparkSession, "near"))
     edges = vectors.neighbour_edges(near, mutual, distance_limit(near, how, percent))
     return vectors.cluster_labels(vectors.components(points.select(F.col(id).alias("id")), edges), least)
 
