@@ -87,7 +87,8 @@ def _recorded(spark: SparkSession, d: str) -> tuple[str, str]:
     last = F.col("page") == F.max("page").over(Window.partitionBy("list"))
     answer = F.to_json(F.struct("items", F.struct(F.when(~last, at(F.col("page") + 1)).alias("next")).alias("pagination")))
     path = scratch(spark, "answers")
-    found.select(F.sha1(at(F.col("page"))).alias("key"), answer.alias("value")).write.partitionBy("key").text(path)
+    # A file for each page: few bytes, but much to write for one task.
+    found.select(F.sha1(at(F.col("page"))).alias("key"), answer.alias("value")).repartition(spark.sparkContext.defaultParallelism, "key").write.partitionBy("key").text(path)
     return path, "mem://even mem://odd"
 
 

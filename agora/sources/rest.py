@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 #: Answers after which a request is tried again.
 RETRIED = (429, 500, 502, 503, 504)
 TRIES, BACKOFF = 5, 1.5
+#: Pages of a list that a batch of a stream takes at most.
+MOST = 256
 
 
 class Failed(Exception):
@@ -114,8 +116,8 @@ class RestLists(DataSource):
     """spark.read or spark.readStream .format("rest_lists").option("urls", "u1 u2").option("items", "bills").option("client", name).load()
 
     Rows (url, item): the start of a list, and an item in JSON. Reading at once, each list is a partition, walked on an executor. A
-    stream takes a page of each list for a batch; a page seen before ends its list. Run it by processingTime, as rows come with
-    the pages: availableNow would take one."""
+    stream takes a page of each list for its first batch, then as many as it has taken before, up to MOST; a page seen before ends
+    its list. Run it by processingTime, as rows come with the pages: availableNow would take one batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -156,12 +158,17 @@ class _Pages(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple[str, str]], dict]:
         get, rows, after = client(self.options), [], {}
         for url, at in start.items():
-            after[url] = at
-            if at["next"]:
-                answer = request(at["next"], get)
+            following, seen, before = at["next"], list(at["seen"]), set(at["seen"])
+            for _ in range(min(MOST, max(1, len(seen)))):
+                if not following:
+                    break
+                answer = request(following, get)
                 rows += [(url, json.dumps(item, sort_keys=True)) for item in answer.get(self.options.get("items", "items")) or []]
-                seen, following = [*at["seen"], address_key(at["next"])], (answer.get("pagination") or {}).get("next") or ""
-                after[url] = {"next": "" if following and address_key(following) in seen else following, "seen": seen}
+                seen.append(address_key(following))
+                before.add(seen[-1])
+                following = (answer.get("pagination") or {}).get("next") or ""
+                following = "" if following and address_key(following) in before else following
+            after[url] = {"next": following, "seen": seen}
         return iter(rows), after
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str, str]]:  # noqa: N802

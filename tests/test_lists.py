@@ -41,3 +41,19 @@ def test_client_by_import_name(tmp_path):
     assert get("x") == {"items": []} == rest.client({"client": "agora.sources.rest:folder_client", "pages": f"file://{tmp_path}"})("x")
     with pytest.raises(ModuleNotFoundError):
         rest.client({"client": "no.such.module:f"})
+
+
+def test_batches_grow_and_are_read_again_alike(tmp_path):
+    held = {f"l{i}": {"items": [i], "pagination": {"next": f"l{i + 1}"}} for i in range(1000)} | {"l1000": {"items": [], "pagination": {}}}
+    (tmp_path / "held.json").write_text(json.dumps(held))
+    source = rest._Pages({"urls": "l0", "recorded": str(tmp_path / "held.json")})
+    at, got, offsets = source.initialOffset(), [], []
+    while True:
+        rows, after = source.read(at)
+        if after == at:
+            break
+        got += [json.loads(x) for _, x in rows]
+        offsets.append(at)
+        at = json.loads(json.dumps(after))
+    assert got == list(range(1000)) and len(offsets) < 15
+    assert [json.loads(x) for _, x in source.readBetweenOffsets(offsets[2], offsets[5])] == list(range(2, 16))
