@@ -111,7 +111,7 @@ def embedding_index(vectors: DataFrame, by: str, vector: str, file: str | None =
 def voting_profile(votes: DataFrame, by: str, order: list[Column], vote: Column, info: list[str]) -> DataFrame:
     """Per member: total_votes, votes (an array in order) and of each of info what the member's first vote has."""
     at = F.struct(*order)
-    listed = F.array_sort(F.collect_list(F.struct(at.alias("at"), vote.alias("v"))))  # what one member has voted
+    listed = F.sort_array(F.collect_list(F.struct(at.alias("at"), vote.alias("v"))))  # what one member has voted; array_sort would compare by a lambda
     return votes.groupBy(by).agg(F.count("*").alias("total_votes"), F.transform(listed, lambda x: x["v"]).alias("votes"), *(F.min_by(c, at).alias(c) for c in info))
 
 
