@@ -21,7 +21,7 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Compressed bytes that a task reads, about; bytes that are inflated at a time.
+#: Bytes that a task inflates, about; bytes that are inflated at a time.
 TASK, CHUNK = 32 << 20, 1 << 20
 #: Fixed values of the format: a local header, its length, the two methods known here.
 _LOCAL, _HEADER, STORED, DEFLATED = b"PK\x03\x04", 30, 0, 8
@@ -54,7 +54,7 @@ def directory(archives: DataFrame) -> DataFrame:
                     raise ValueError(f"{path} holds {odd[0]}, which can't be read here")
                 yield pd.DataFrame([(path, n, i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC) for n, i in enumerate(found)], columns=[c.split()[0] for c in ENTRY.split(", ")])
 
-    return archives.repartition("archive").mapInPandas(run, ENTRY)
+    return archives.repartition(archives.sparkSession.sparkContext.defaultParallelism, "archive").mapInPandas(run, ENTRY)
 
 
 def inflated(f, at: int, compressed: int, method: int, crc: int) -> Iterator[bytes]:
@@ -104,8 +104,8 @@ def entries(wanted: DataFrame, schema: str, rows: Callable[[dict, Iterator[bytes
                         if out:
                             yield pd.DataFrame(out, columns=names)
 
-    total = wanted.agg(F.sum("compressed"), F.count("*")).first()
-    tasks = max(1, min(total[1], -(-(total[0] or 0) // TASK)))
+    total = wanted.agg(F.sum("size"), F.count("*")).first()
+    tasks = max(1, min(total[1], max(wanted.sparkSession.sparkContext.defaultParallelism, -(-(total[0] or 0) // TASK))))
     return wanted.repartition(tasks, "archive", "at").mapInPandas(run, schema)
 
 
