@@ -178,3 +178,16 @@ def test_restarts_keep_the_lowest_objective(spark):
     df = spark.createDataFrame([([float(k % 5 * 9), float(k % 7)],) for k in range(60)], "embedding array<double>")
     one, five = (vectors.fuzzy_c_means(df, 5, rounds=2, n_init=n)[1]["objective"] for n in (1, 5))
     assert five <= one
+
+
+def test_rows_are_dealt_out_before_python_reads_them(spark, data):
+    from agora.plans import documents, records  # noqa: F401
+
+    assert records.QUERIES["src13_release_details"](spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert records.QUERIES["src2_zipped_json"](spark, data).rdd.getNumPartitions() > 1
+
+
+def test_votes_are_sorted_without_a_lambda(spark, data):
+    from agora.plans import records
+
+    assert "sort_array(" in records.QUERIES["a5_voting_profile"](spark, data)._jdf.queryExecution().toString()
