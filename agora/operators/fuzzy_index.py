@@ -1,7 +1,7 @@
 """A token index of a searched table, so that a fuzzy search reads the lists of its own words and not the texts.
 
-Postings (token, id, words, chars) are sorted by token, sizes (id, words, chars) by chars: a search prunes both by the statistics of
-their files. words and chars are the distinct words of a text and their letters. Shared words and lengths bound the score of a row
+Postings (token, id, words, chars) are sorted by token in each file, sizes (id, words, chars) by chars, as tasks have their rows: nothing
+is shuffled, and a search prunes both by the statistics of their pages. words and chars are the distinct words of a text and their letters. Shared words and lengths bound the score of a row
 (fuzzy.set_bounds, as expressions); rows that share no word can score at most by length, so that only a range of sizes is read. Only
 rows whose bound reaches the cutoff meet their texts; of these a row whose words hold the query's, or the reverse, needs none.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.functions.fuzzy import CUTOFF, token_set_score
-from agora.operators.folders import written
+from agora.operators.folders import bounded, written
 
 #: Rows that may be broadcast to the table they are looked up in: 16 bytes each and a score.
 BROADCAST_ROWS = 500_000
@@ -33,7 +33,7 @@ def build(rows: DataFrame, id: str, searched: str, path: str) -> TokenIndex:
     told = rows.select(F.col(id), words.alias("tokens")).where(F.size("tokens") > 0)
     told = told.select(id, "tokens", F.size("tokens").alias("words"), F.aggregate("tokens", F.lit(0), lambda n, w: n + F.char_length(w)).alias("chars"))
     postings = told.select(F.explode("tokens").alias("token"), id, "words", "chars")
-    return TokenIndex(written(postings.repartitionByRange("token").sortWithinPartitions("token"), f"{path}/postings"), written(told.select(id, "words", "chars").repartitionByRange("chars").sortWithinPartitions("chars"), f"{path}/sizes"), id)
+    return TokenIndex(written(postings.sortWithinPartitions("token"), f"{path}/postings"), written(told.select(id, "words", "chars").sortWithinPartitions("chars"), f"{path}/sizes"), id)
 
 
 def load(spark: SparkSession, id: str, path: str) -> TokenIndex:
@@ -69,6 +69,7 @@ def search(rows: DataFrame, index: TokenIndex, query: str, searched: str, cutoff
     q = " ".join(query.lower().split())
     if not q:
         return rows.withColumn("score", F.lit(None).cast("double"))
+    bounded(rows.sparkSession)
     told = candidates(index, q, cutoff)
     told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told
     met = rows.join(told, index.id)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import text
 from agora.functions.fuzzy import CUTOFF, token_set_score
+from agora.operators.folders import bounded, scratch, written
 from agora.operators.order import matched_first, release_order
 from agora.operators.vectors import top_k
 
@@ -57,13 +58,16 @@ def fuzzy_scores(rows: DataFrame, query: str, searched: str) -> DataFrame:
     q = " ".join(query.lower().split())
     if not q:
         return rows.withColumn("score", F.lit(None).cast("double"))
+    bounded(rows.sparkSession)
     return rows.withColumn("score", token_set_score(F.col(searched), F.lit(q), CUTOFF)).where(F.col("score") >= CUTOFF)
 
 
 def fuzzy_filter(rows: DataFrame, query: str, searched: str, position: str) -> DataFrame:
-    """In the base order for a blank query, else by score and, where scores tie, position."""
+    """In the base order for a blank query, else by score and, where scores tie, position.
+
+    What is found is written: a sort reads its rows twice, and would score all texts twice."""
     scored = fuzzy_scores(rows, query, searched)
-    return scored.orderBy(position) if not query.strip() else scored.orderBy(F.desc("score"), F.asc(position))
+    return scored.orderBy(position) if not query.strip() else written(scored, scratch(rows.sparkSession, "scored")).orderBy(F.desc("score"), F.asc(position))
 
 
 def release_text(title: Column, member: Column, ident: Column, date: Column, url: Column, body: Column, html: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agora.functions import text
 from agora.functions.fuzzy import subset_match
 from agora.operators import clusters, counts, fuzzy_index, models, search, vectors
-from agora.operators.folders import scratch
+from agora.operators.folders import scratch, written
 from agora.plans.records import query, table
 
 #: Fixed query vectors come from the row of this id.
@@ -150,7 +150,7 @@ def sr1_subset(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sr1_fuzzy_filter")
 def sr1(spark: SparkSession, d: str) -> DataFrame:
-    return search.fuzzy_filter(searched(spark, d), "thnt the ering", "search_text", "position").select("doc_id", F.round("score", 6).alias("score"))
+    return search.fuzzy_filter(searched(spark, d).select("doc_id", "position", "search_text"), "thnt the ering", "search_text", "position").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("sr1_indexed_filter")
@@ -158,8 +158,9 @@ def sr1_indexed(spark: SparkSession, d: str) -> DataFrame:
     """sr1_fuzzy_filter through the token index."""
     rows = searched(spark, d)
     index = fuzzy_index.build(rows, "doc_id", "search_text", scratch(spark, "tokens"))
-    found = fuzzy_index.search(rows, index, "thnt the ering", "search_text")
-    return found.orderBy(F.desc("score"), "position").select("doc_id", F.round("score", 6).alias("score"))
+    found = fuzzy_index.search(rows, index, "thnt the ering", "search_text").select("doc_id", "position", "score")
+    # Written before it is sorted, as a sort reads its rows twice.
+    return written(found, scratch(spark, "found")).orderBy(F.desc("score"), "position").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("sr2_release_search")

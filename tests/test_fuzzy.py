@@ -126,3 +126,9 @@ def test_unescaped_pages(spark, data):
     pages = {r.page_id: r.html or "" for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     want = {i: hashlib.sha1(html.unescape(re.sub("<[^>]+>", " ", t)).encode()).hexdigest() for i, t in pages.items()}
     assert {r.page_id: r.plain_sha1 for r in records.QUERIES["f10_unescape"](spark, data).collect()} == want
+
+
+def test_texts_are_scored_once_and_indexed_without_a_shuffle(spark, short, tmp_path):
+    rows = short.withColumn("position", F.col("doc_id"))
+    assert "ArrowEvalPython" not in search.fuzzy_filter(rows, QUERY, "search_text", "position")._jdf.queryExecution().toString()
+    assert len(fuzzy_index.build(short.repartition(3), "doc_id", "search_text", str(tmp_path)).postings.inputFiles()) == 3
